@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from brickyard.functions import geo, text
 from brickyard.operators.clean import count_filled
 from brickyard.operators.components import connected_components
+from brickyard.session import cut
 
 # Fixed values of the match.
 PRICE_TOLERANCE = 0.05
@@ -187,6 +188,14 @@ def _nodes(blocked: DataFrame) -> DataFrame:
             .agg(F.min("listing_id").alias("node")))
 
 
+def _links(nodes: DataFrame) -> DataFrame:
+    # most blocks hold a single node and cannot link
+    several = nodes.groupBy("_block").count().filter("count > 1").select("_block")
+    nodes = cut(nodes.join(several, "_block", "left_semi"))
+    return (_unlocated_links(nodes).unionByName(_place_links(nodes))
+            .unionByName(_unpriced_links(nodes)).filter("a_id <> b_id").distinct())
+
+
 def duplicate_links(df: DataFrame, within: Sequence[str] = ("market",),
                     isolate_null_keys: bool = False) -> DataFrame:
     """Matching pairs (a_id < b_id) whose components are the duplicate clusters.
@@ -195,21 +204,17 @@ def duplicate_links(df: DataFrame, within: Sequence[str] = ("market",),
     ``isolate_null_keys`` keeps listings without a postal code or street out of any block;
     by default missing parts compare equal.
     """
-    nodes = _nodes(_with_block(df, within, isolate_null_keys))
-    # most blocks hold a single node and cannot link
-    several = nodes.groupBy("_block").count().filter("count > 1").select("_block")
-    nodes = nodes.join(several, "_block", "left_semi")
-    return (_unlocated_links(nodes).unionByName(_place_links(nodes))
-            .unionByName(_unpriced_links(nodes)).filter("a_id <> b_id").distinct())
+    return _links(cut(_nodes(_with_block(df, within, isolate_null_keys))))
 
 
 def dedup_clusters(df: DataFrame, within: Sequence[str] = ("market",),
                    isolate_null_keys: bool = False) -> DataFrame:
     """Add ``cluster_id``, the smallest listing id of the duplicate cluster."""
     blocked = _with_block(df, within, isolate_null_keys)
-    labels = connected_components(duplicate_links(df, within, isolate_null_keys),
-                                  "a_id", "b_id")
-    nodes = (_nodes(blocked).join(labels, "node", "left")
+    # written once: the links read the nodes many times, the listings only twice
+    all_nodes = cut(_nodes(blocked))
+    labels = connected_components(_links(all_nodes), "a_id", "b_id")
+    nodes = (all_nodes.join(labels, "node", "left")
              .select(F.col("_block").alias("k1"), F.col("_p").alias("k2"),
                      F.col("_lat").alias("k3"), F.col("_lon").alias("k4"),
                      F.coalesce("label", "node").alias("cluster_id")))
