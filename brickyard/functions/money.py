@@ -38,3 +38,9 @@ def clip(c: Column, low: float, high: float) -> Column:
 def band(prediction: Column, mae: Column) -> tuple[Column, Column]:
     """Prediction interval of one typical miss, floored at zero."""
     return F.greatest(F.lit(0.0), prediction - mae), prediction + mae
+
+
+def rounded(c: Column, digits: int = 2) -> Column:
+    """Half-to-even rounding of the scaled value."""
+    scale = F.lit(float(10 ** digits))
+    return F.rint(c * scale) / scale

@@ -21,12 +21,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brickyard.functions.geo import haversine_m
 from brickyard.schema import EARTH_RADIUS_M
+from brickyard.session import cut
 
 LON_STRETCH = 1.5      # cells about as wide as high at 48 degrees
 QUERIES_PER_TASK_CELL = 512
 _PROBE_DEG = 0.05
+_FIRST_LEVELS = 5
 
 
 def finest_cell(points: DataFrame, keys: Sequence[str], k: int) -> float:
@@ -37,11 +38,33 @@ def finest_cell(points: DataFrame, keys: Sequence[str], k: int) -> float:
     return min(max(width, 2e-6), 0.5)
 
 
-def _cells(lat: Column, lon: Column, level: Column, finest: float) -> tuple[Column, Column]:
-    cx = F.floor(lat / F.lit(finest)).cast("bigint")
-    cy = F.floor(lon / F.lit(finest * LON_STRETCH)).cast("bigint")
-    scale = F.pow(F.lit(2.0), level)
-    return (F.floor(cx / scale).cast("bigint"), F.floor(cy / scale).cast("bigint"))
+def _cells(lat: Column, lon: Column, finest: float) -> tuple[Column, Column]:
+    return (F.floor(lat / F.lit(finest)).cast("bigint"),
+            F.floor(lon / F.lit(finest * LON_STRETCH)).cast("bigint"))
+
+
+def _parent(c: str) -> Column:
+    """Cell index at size ``lv`` of a finest-size index."""
+    return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("lv"))).cast("bigint")
+
+
+def _choose_level(asked: DataFrame, fine: DataFrame, keys: list[str], need: int, low: int,
+                  high: int) -> DataFrame:
+    """Smallest cell size in ``low..high`` whose 3 x 3 block holds ``need`` points, per cell."""
+    sizes = F.explode(F.sequence(F.lit(low), F.lit(max(low, high))))
+    counts = (fine.withColumn("lv", sizes)
+              .groupBy(*keys, "lv", _parent("x0").alias("cx"), _parent("y0").alias("cy"))
+              .agg(F.sum("n").alias("n")))
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+                                 for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    full = (counts.withColumn("_o", around)
+            .groupBy(*keys, "lv", (F.col("cx") + F.col("_o.dx")).alias("cx"),
+                     (F.col("cy") + F.col("_o.dy")).alias("cy"))
+            .agg(F.sum("n").alias("n")).filter(F.col("n") >= need).drop("n"))
+    return (asked.select(*keys, "x0", "y0").distinct().withColumn("lv", sizes)
+            .withColumns({"cx": _parent("x0"), "cy": _parent("y0")})
+            .join(full, [*keys, "lv", "cx", "cy"])
+            .groupBy(*keys, "x0", "y0").agg(F.min("lv").alias("lv")))
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str] = ("market",),
@@ -60,41 +83,29 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str
                    F.col(point_id).alias("_pid"), F.struct(*carry, F.lit(1).alias("_one"))
                    .alias("_carry")))
     place = Window.partitionBy(*keys, "_plat", "_plon").orderBy("_pid")
-    pts = (pts.withColumn("_rn", F.row_number().over(place)).filter(F.col("_rn") <= need)
-           .drop("_rn"))
+    # read three times below, so written once
+    pts = cut(pts.withColumn("_rn", F.row_number().over(place)).filter(F.col("_rn") <= need)
+              .drop("_rn"))
     finest = finest or finest_cell(pts, keys, need)
     top = math.ceil(math.log2(360.0 / finest)) + 1
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
 
-    asked = (queries.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-             .select(*keys, F.col("latitude").alias("_qlat"), F.col("longitude").alias("_qlon"))
-             .distinct())
+    asked = cut(queries.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+                .select(*keys, F.col("latitude").alias("_qlat"),
+                        F.col("longitude").alias("_qlon")).distinct())
 
     # smallest cell size whose 3 x 3 block holds enough points
-    px, py = _cells(F.col("_plat"), F.col("_plon"), F.lit(0.0), finest)
+    px, py = _cells(F.col("_plat"), F.col("_plon"), finest)
+    qx, qy = _cells(F.col("_qlat"), F.col("_qlon"), finest)
     fine = pts.groupBy(*keys, px.alias("x0"), py.alias("y0")).agg(F.count("*").alias("n"))
-
-    def parent(c: str) -> Column:
-        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("lv"))).cast("bigint")
-
-    counts = (fine.withColumn("lv", levels)
-              .groupBy(*keys, "lv", parent("x0").alias("cx"), parent("y0").alias("cy"))
-              .agg(F.sum("n").alias("n")))
-    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                                 for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    full = (counts.withColumn("_o", around)
-            .groupBy(*keys, "lv", (F.col("cx") + F.col("_o.dx")).alias("cx"),
-                     (F.col("cy") + F.col("_o.dy")).alias("cy"))
-            .agg(F.sum("n").alias("n")).filter(F.col("n") >= need).drop("n"))
-    qx, qy = _cells(F.col("_qlat"), F.col("_qlon"), F.lit(0.0), finest)
     asked = asked.withColumns({"x0": qx, "y0": qy})
-    chosen = (asked.select(*keys, "x0", "y0").distinct().withColumn("lv", levels)
-              .withColumns({"cx": parent("x0"), "cy": parent("y0")})
-              .join(full, [*keys, "lv", "cx", "cy"])
-              .groupBy(*keys, "x0", "y0").agg(F.min("lv").alias("lv")))
+    # few queries need more than the first sizes, so only those look through the rest
+    split = min(_FIRST_LEVELS, top)
+    chosen = _choose_level(asked, fine, keys, need, 0, split)
     asked = asked.join(chosen, [*keys, "x0", "y0"], "left")
-    asked = (asked.withColumn("lv", F.coalesce("lv", F.lit(top)))
-             .withColumns({"hx": parent("x0"), "hy": parent("y0")}).drop("x0", "y0"))
+    rest = _choose_level(asked.filter("lv is null"), fine, keys, need, split + 1, top)
+    asked = asked.join(rest.withColumnRenamed("lv", "lv2"), [*keys, "x0", "y0"], "left")
+    asked = asked.withColumn("lv", F.coalesce("lv", "lv2", F.lit(top))).drop("lv2")
+    asked = asked.withColumns({"hx": _parent("x0"), "hy": _parent("y0")}).drop("x0", "y0")
 
     # upper bound of the k-th distance and the cells it can reach
     g = F.lit(finest) * F.pow(F.lit(2.0), F.col("lv"))
@@ -104,46 +115,60 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str
     wide = F.radians(F.greatest(F.col("_qlon") - (F.col("hy") - 1) * gl,
                                 (F.col("hy") + 2) * gl - F.col("_qlon")))
     flat = F.cos(F.greatest(F.lit(0.0), F.abs(F.radians("_qlat")) - high))
-    angle = F.hypot(high, wide * flat) * 1.000001
-    angle = F.when(F.col("lv") >= top, F.lit(4.0)).otherwise(angle)
-    asked = asked.withColumn("_r", angle)
+    angle = F.least(F.hypot(high, wide * flat) * 1.000001, F.lit(math.pi))
+    angle = F.when(F.col("lv") >= top, F.lit(math.pi)).otherwise(angle)
+    # the identifiers are fixed by writing the rows
+    asked = cut(asked.withColumns({"_r": angle, "_q": F.monotonically_increasing_id()}))
     pole = (F.abs(F.radians("_qlat")) + F.col("_r")) >= math.pi / 2
     dlat = F.least(F.degrees("_r"), F.lit(180.0))
     dlon = F.when(pole, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(
         F.lit(1.0), F.sin(F.least(F.col("_r"), F.lit(math.pi / 2))) / F.cos(F.radians("_qlat"))))))
-    homes = (asked.withColumns({"_dlat": dlat, "_dlon": dlon})
-             .groupBy(*keys, "lv", "hx", "hy")
-             .agg(F.min(F.floor((F.col("_qlat") - F.col("_dlat")) / g)).cast("bigint").alias("x1"),
-                  F.max(F.floor((F.col("_qlat") + F.col("_dlat")) / g)).cast("bigint").alias("x2"),
-                  F.min(F.floor((F.col("_qlon") - F.col("_dlon")) / gl)).cast("bigint").alias("y1"),
-                  F.max(F.floor((F.col("_qlon") + F.col("_dlon")) / gl)).cast("bigint").alias("y2"),
-                  F.ceil(F.count("*") / QUERIES_PER_TASK_CELL).cast("bigint").alias("_s")))
+    home = [*keys, "lv", "hx", "hy"]
+    homes = cut(
+        asked.withColumns({"_dlat": dlat, "_dlon": dlon}).groupBy(*home)
+        .agg(F.min(F.floor((F.col("_qlat") - F.col("_dlat")) / g)).cast("bigint").alias("x1"),
+             F.max(F.floor((F.col("_qlat") + F.col("_dlat")) / g)).cast("bigint").alias("x2"),
+             F.min(F.floor((F.col("_qlon") - F.col("_dlon")) / gl)).cast("bigint").alias("y1"),
+             F.max(F.floor((F.col("_qlon") + F.col("_dlon")) / gl)).cast("bigint").alias("y2"),
+             F.ceil(F.count("*") / QUERIES_PER_TASK_CELL).cast("bigint").alias("_s"))
+        .withColumn("_h", F.monotonically_increasing_id()))
 
     # points of every reachable cell, sent to the home cell (split when it is crowded)
     used = F.broadcast(homes.select("lv").distinct())  # at most one row per cell size
-    at = pts.withColumn("lv", levels).join(used, "lv", "left_semi")
-    cx, cy = _cells(F.col("_plat"), F.col("_plon"), F.col("lv"), finest)
-    at = at.withColumns({"cx": cx, "cy": cy})
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    at = (pts.withColumns({"x0": px, "y0": py}).withColumn("lv", sizes)
+          .join(used, "lv", "left_semi")
+          .withColumns({"cx": _parent("x0"), "cy": _parent("y0")}))
     reach = (homes.withColumn("cx", F.explode(F.sequence("x1", "x2")))
              .withColumn("cy", F.explode(F.sequence("y1", "y2")))
-             .select(*keys, "lv", "hx", "hy", "_s", "cx", "cy"))
+             .select(*keys, "lv", "_h", "_s", "cx", "cy"))
+    p_lat, p_lon = F.radians("_plat"), F.radians("_plon")
     near = (at.join(reach, [*keys, "lv", "cx", "cy"])
             .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_s") - 1)))
-            .select(*keys, "lv", "hx", "hy", "_salt", "_plat", "_plon", "_pid", "_carry"))
-    home = [*keys, "lv", "hx", "hy"]
-    split = (asked.join(homes.select(*home, "_s"), home)
-             .withColumn("_salt", F.pmod(F.xxhash64("_qlat", "_qlon"), F.col("_s")))
-             .drop("_s"))
-    pairs = (split.join(near, [*home, "_salt"])
-             .withColumn("_d", haversine_m(F.col("_qlat"), F.col("_qlon"),
-                                           F.col("_plat"), F.col("_plon")))
-             .filter(F.col("_d") <= F.col("_r") * EARTH_RADIUS_M))
-    one_query = [*home, "_salt", "_qlat", "_qlon"]
-    w = Window.partitionBy(*one_query).orderBy("_d", "_pid")
+            .select("_h", "_salt", p_lat.alias("_pf"), p_lon.alias("_pl"),
+                    F.cos(p_lat).alias("_pc"), "_pid", "_carry"))
+    q_lat, q_lon = F.radians("_qlat"), F.radians("_qlon")
+    limit = F.pow(F.sin(F.col("_r") / 2), F.lit(2.0)) * 1.000001
+    inside = (asked.join(homes.select(*home, "_h", "_s"), home)
+              .select("_h", F.pmod(F.xxhash64("_q"), F.col("_s")).alias("_salt"), "_q",
+                      q_lat.alias("_qf"), q_lon.alias("_ql"), F.cos(q_lat).alias("_qc"),
+                      limit.alias("_lim"), F.col("_r").alias("_box")))
+    # ranked by the haversine term, which grows with the distance
+    sf = F.sin((F.col("_pf") - F.col("_qf")) / 2)
+    sl = F.sin((F.col("_pl") - F.col("_ql")) / 2)
+    pairs = (inside.join(near, ["_h", "_salt"])
+             .filter(F.abs(F.col("_pf") - F.col("_qf")) <= F.col("_box"))
+             .select("_h", "_salt", "_q", "_lim", "_pid", "_carry",
+                     (sf * sf + F.col("_pc") * F.col("_qc") * sl * sl).alias("_a"))
+             .filter(F.col("_a") <= F.col("_lim")).drop("_lim"))
+    w = Window.partitionBy("_h", "_salt", "_q").orderBy("_a", "_pid")
     ranked = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= need)
-    item = F.struct(F.col("_rn"), F.col("_d").alias("distance_m"), F.col("_pid").alias("id"),
+    metres = F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt("_a")))
+    item = F.struct(F.col("_rn"), metres.alias("distance_m"), F.col("_pid").alias("id"),
                     *[F.col(f"_carry.{c}").alias(c) for c in carry])
-    found = (ranked.groupBy(*one_query).agg(F.array_sort(F.collect_list(item)).alias("_nb"))
+    found = (ranked.groupBy("_h", "_salt", "_q")
+             .agg(F.array_sort(F.collect_list(item)).alias("_nb")).select("_q", "_nb")
+             .join(asked, "_q")
              .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
                      F.col("_qlat").alias("_fl"), F.col("_qlon").alias("_fo"), "_nb"))
 

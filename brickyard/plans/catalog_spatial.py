@@ -11,6 +11,7 @@ from brickyard.plans import comparables as comps
 from brickyard.plans import surface
 from brickyard.plans.bind import LISTINGS, POINTS, listings
 from brickyard.plans.registry import query
+from brickyard.session import cut
 
 P = f"WITH p AS ({POINTS})"
 
@@ -113,9 +114,12 @@ def build_surface(spark: SparkSession, sf: str) -> DataFrame:
 _NB = P + f"""
 , q AS (SELECT listing_id, market, latitude, longitude, province, region FROM ({LISTINGS}) l0
   WHERE latitude IS NOT NULL),
+pc AS (SELECT *, floor(latitude / 0.14) AS r, floor(longitude / 0.22) AS c FROM p),
+qc AS (SELECT q.*, floor(latitude / 0.14) + i AS r, floor(longitude / 0.22) + j AS c
+  FROM q, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)),
 pairs AS (SELECT q.listing_id, q.market, p.listing_id AS pid, p.price_per_sqm, p.refnis,
     {_dist('q', 'p')} AS d
-  FROM q JOIN p ON q.market = p.market AND p.latitude BETWEEN q.latitude - 0.14 AND q.latitude + 0.14
+  FROM qc q JOIN pc p ON q.market = p.market AND p.r = q.r AND p.c = q.c AND p.latitude BETWEEN q.latitude - 0.14 AND q.latitude + 0.14
     AND p.longitude BETWEEN q.longitude - 0.22 AND q.longitude + 0.22 AND @COND@),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY d, pid) AS rn
   FROM pairs) x WHERE rn <= 20),
@@ -257,7 +261,7 @@ def priciness_lookup(spark: SparkSession, sf: str) -> DataFrame:
 SELECT request_id, nearest_refnis, radius_m > 20000 AS far, round(value, 6) AS value FROM v""")
 def priciness_backoff(spark: SparkSession, sf: str) -> DataFrame:
     north = municipality_requests(spark, sf).withColumn("latitude", F.col("latitude") + 0.9)
-    pts = _points(spark, sf)
+    pts = cut(_points(spark, sf))
     return surface.back_off(surface.neighbours(north, pts), pts).select(
         "request_id", "nearest_refnis", (F.col("radius_m") > geo.FAR_M).alias("far"),
         F.round("value", 6).alias("value"))
@@ -296,7 +300,8 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDE
 SELECT request_id, n_within, widened, count(*) AS n_pool, round(max(d), 3) AS farthest_m FROM b
 GROUP BY 1, 2, 3""")
 def comparables_pool(spark: SparkSession, sf: str) -> DataFrame:
-    req, pool = municipality_requests(spark, sf), comps.candidates(listings(spark, sf))
+    req = cut(municipality_requests(spark, sf))
+    pool = cut(comps.candidates(listings(spark, sf)))
     sizes = comps.pool_size_per_request(req, pool, k=5)
     got = (comps.request_pool(req, pool, k=5).groupBy("request_id")
            .agg(F.count("*").alias("n_pool"), F.round(F.max("distance_m"), 3).alias("farthest_m")))

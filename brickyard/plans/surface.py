@@ -9,11 +9,13 @@ from brickyard.functions import geo, money
 from brickyard.operators import clean
 from brickyard.operators.knn import array_median, nearest
 from brickyard.operators.quantiles import group_medians, with_percentile
+from brickyard.session import cut
 
 NEIGHBOURS = 20
 TILE_MIN = 5
 TILE_DEG = 0.01
 NEAR_M = 1_000.0
+POINT_COLUMNS = ["market", "listing_id", "latitude", "longitude", "refnis", "price_per_sqm"]
 
 
 def surface_points(listings: DataFrame) -> DataFrame:
@@ -110,6 +112,7 @@ def lookup(queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS,
            exclude_id: str | None = None) -> DataFrame:
     """Value, percentile, confidence, granularity and radius for every located query."""
     located = queries.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    points = cut(points.select(*POINT_COLUMNS))
     out = back_off(neighbours(located, points, k, exclude_id), points)
     out = with_percentile(out, points, ["market"], "price_per_sqm", "percentile", probe="value")
     return out.withColumns({
@@ -129,8 +132,7 @@ def neighbourhood_index(listings: DataFrame, points: DataFrame,
 
 def build_surface(listings: DataFrame) -> dict[str, DataFrame]:
     """The tables a surface consists of, ready to be written."""
-    points = surface_points(listings)
-    return {"points": points.select("market", "listing_id", "latitude", "longitude", "refnis",
-                                    "price_per_sqm"),
+    points = cut(surface_points(listings).select(*POINT_COLUMNS, "province"))
+    return {"points": points.select(*POINT_COLUMNS),
             "muni_stats": muni_stats(points), "province_medians": province_medians(points),
             "national": national_medians(points), "tiles": tiles(points)}
