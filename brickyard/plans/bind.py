@@ -15,9 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One listing per line item, located by supplier, nation and region."""
-    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+def listings(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
+    """One listing per line item (batch or stream), located by supplier, nation and region."""
+    li = items if items is not None else table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part")
     geo = (table(spark, sf_dir, "supplier")
            .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
            .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
