@@ -1 +1,218 @@
-"""Queries."""
+"""Queries: model frames, training, evaluation, attribution."""
+
+from __future__ import annotations
+
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brickyard.operators import clean, model
+from brickyard.plans.bind import LISTINGS, listings
+from brickyard.plans.registry import query
+from brickyard.session import cut
+
+L = f"WITH l AS ({LISTINGS})"
+_FRAME = L + """, f AS (SELECT * FROM l WHERE (market = 'sale' AND price BETWEEN 25000 AND 5000000)
+  OR (market = 'rent' AND price BETWEEN 200 AND 12000)),
+sp AS (SELECT *, CASE WHEN cast(concat('0x', substr(md5(listing_id), 1, 8)) AS BIGINT) % 100 < 20
+  THEN 'test' ELSE 'train' END AS split FROM f)"""
+
+
+def _frame(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.clean_model_frame(listings(spark, sf))
+
+
+@query("clean_model_frame", _FRAME + """
+SELECT listing_id, market, livable_surface, bedrooms, latitude, longitude, property_type,
+  province, region, price FROM f""")
+def clean_model_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return _frame(spark, sf)
+
+
+@query("hash_split", _FRAME + "SELECT listing_id, split FROM sp")
+def hash_split(spark: SparkSession, sf: str) -> DataFrame:
+    return model.hash_split(_frame(spark, sf)).select("listing_id", "split")
+
+
+@query("trim_outliers", _FRAME + """
+, q AS (SELECT market, quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM sp
+  WHERE split = 'train' GROUP BY 1)
+SELECT listing_id, sp.market, split, price FROM sp JOIN q USING (market)
+WHERE split = 'test' OR price BETWEEN lo AND hi""")
+def trim_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return model.trim_outliers(model.hash_split(_frame(spark, sf))).select(
+        "listing_id", "market", "split", "price")
+
+
+_SCALED = ["livable_surface", "bedrooms", "latitude", "longitude"]
+
+
+@query("impute_scale", _FRAME + ", md AS (SELECT " + ", ".join(
+    f"median({c}) AS {c}" for c in _SCALED) + " FROM sp), im AS (SELECT listing_id, " + ", ".join(
+    f"coalesce(sp.{c}, md.{c}) AS {c}" for c in _SCALED) + """ FROM sp, md),
+st AS (SELECT """ + ", ".join(
+    f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _SCALED) + """ FROM im)
+SELECT listing_id, """ + ", ".join(
+    f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in _SCALED) + " FROM im, st")
+def impute_scale(spark: SparkSession, sf: str) -> DataFrame:
+    frame = _frame(spark, sf)
+    out = model.apply_scaling(frame, model.fit_scaling(frame, _SCALED))
+    return out.select("listing_id", *[F.round(c, 6).alias(c) for c in _SCALED])
+
+
+@query("spatial_folds", L + """
+, c AS (SELECT listing_id, market, concat(printf('%.1f', round_even(latitude * 10, 0) / 10), '_',
+  printf('%.1f', round_even(longitude * 10, 0) / 10)) AS cell FROM l WHERE latitude IS NOT NULL),
+n AS (SELECT market, cell, row_number() OVER (PARTITION BY market ORDER BY count(*) DESC, cell) - 1 AS pos
+  FROM c GROUP BY 1, 2)
+SELECT listing_id, cell, cast(CASE WHEN pos % 8 < 4 THEN pos % 8 ELSE 7 - pos % 8 END AS integer) AS fold
+FROM c JOIN n USING (market, cell)""")
+def spatial_folds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = listings(spark, sf).filter(F.col("latitude").isNotNull())
+    return model.spatial_folds(rows).select("listing_id", "cell", "fold")
+
+
+# -- evaluation: two simple predictors, the mean by type and by municipality ---
+_PRED = _FRAME + """, p AS (
+  SELECT listing_id, market, 'by_type' AS algorithm, price, avg(price) OVER (PARTITION BY market, property_type) AS prediction FROM f
+  UNION ALL SELECT listing_id, market, 'by_place', price, avg(price) OVER (PARTITION BY market, province) FROM f),
+m AS (SELECT market, algorithm, count(*) AS n, 1 - avg((price - prediction) * (price - prediction)) / var_pop(price) AS r2,
+  avg(abs(price - prediction)) AS mae, sqrt(avg((price - prediction) * (price - prediction))) AS rmse FROM p GROUP BY 1, 2)"""
+
+
+def _predictions(spark: SparkSession, sf: str) -> DataFrame:
+    f = clean.target_guard(listings(spark, sf))
+
+    def by(name: str, *keys: str) -> DataFrame:
+        means = f.groupBy(*keys).agg(F.avg("price").alias("prediction"))
+        return f.join(means, list(keys)).select("listing_id", "market", F.lit(name).alias("algorithm"),
+                                                "price", "prediction")
+
+    return by("by_type", "market", "property_type").unionByName(by("by_place", "market", "province"))
+
+
+@query("regression_metrics", _PRED + """
+SELECT market, algorithm, n, round(r2, 8) AS r2, round(mae, 4) AS mae, round(rmse, 4) AS rmse FROM m""")
+def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return model.regression_metrics(_predictions(spark, sf), ["market", "algorithm"]).withColumns({
+        "r2": F.round("r2", 8), "mae": F.round("mae", 4), "rmse": F.round("rmse", 4)})
+
+
+@query("ensemble_avg", _PRED + """
+SELECT listing_id, round(max(CASE WHEN algorithm = 'by_type' THEN prediction END), 4) AS by_type,
+  round(max(CASE WHEN algorithm = 'by_place' THEN prediction END), 4) AS by_place,
+  round(avg(prediction), 4) AS average FROM p GROUP BY 1""")
+def ensemble_avg(spark: SparkSession, sf: str) -> DataFrame:
+    out = model.ensemble_average(_predictions(spark, sf), "listing_id", ["by_type", "by_place"])
+    return out.select("listing_id", *[F.round(c, 4).alias(c) for c in ("by_type", "by_place", "average")])
+
+
+@query("leaderboard", _PRED + """
+, t AS (SELECT market, algorithm, CASE WHEN algorithm = 'by_type' THEN r2 + 1 ELSE r2 END AS score FROM m)
+SELECT market, algorithm, round(score, 8) AS score,
+  cast(row_number() OVER (PARTITION BY market ORDER BY score DESC, algorithm) AS integer) AS position FROM t""")
+def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    m = model.regression_metrics(_predictions(spark, sf), ["market", "algorithm"])
+    table = m.withColumns({"trained_test_r2": F.col("r2"), "tuned_test_r2": F.when(
+        F.col("algorithm") == "by_type", F.col("r2") + 1)})
+    return model.leaderboard(table).select("market", "algorithm", F.round("score", 8).alias("score"),
+                                           "position")
+
+
+# Importances: absolute correlations of the numbers, weighted shares of the categories.
+@query("importance_rollup", L + """
+, g AS (SELECT market, 'livable_surface' AS feature, abs(corr(livable_surface, price)) AS v FROM l GROUP BY 1
+  UNION ALL SELECT market, 'bedrooms', abs(corr(bedrooms, price)) FROM l GROUP BY 1
+  UNION ALL SELECT market, 'property_type', 1 FROM l GROUP BY 1
+  UNION ALL SELECT market, 'province', 0.5E0 FROM l GROUP BY 1)
+SELECT market, feature, round(v, 6) AS importance,
+  cast(row_number() OVER (PARTITION BY market ORDER BY round(v, 9) DESC, feature) AS integer) AS position FROM g""")
+def importance_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = listings(spark, sf)
+    nums = rows.groupBy("market").agg(
+        *[F.corr(c, "price").alias(f"num__{c}") for c in ("livable_surface", "bedrooms")])
+    out = nums.unpivot(["market"], ["num__livable_surface", "num__bedrooms"], "name", "importance")
+    out = out.withColumn("importance", F.abs("importance"))
+    totals = rows.groupBy("market").agg(F.count("*").alias("total"))
+    for c, weight in (("property_type", 1.0), ("province", 0.5)):
+        share = rows.groupBy("market", c).count().join(totals, "market").select(
+            "market", F.concat(F.lit(f"cat__{c}_"), F.col(c)).alias("name"),
+            (F.col("count") * weight / F.col("total")).alias("importance"))
+        out = out.unionByName(share)
+    rolled = model.importance_rollup(out.withColumn("importance", F.round("importance", 12)))
+    return rolled.withColumn("importance", F.round("importance", 6))
+
+
+# -- linear model: fitted by MLlib, compared with the normal equations in SQL --
+_OLS = L + """, f AS (SELECT listing_id, price AS y, livable_surface AS a, cast(bedrooms AS double) AS b
+  FROM l WHERE market = 'sale' AND price BETWEEN 25000 AND 5000000),
+c AS (SELECT covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, var_pop(a) AS aa, var_pop(b) AS bb,
+  covar_pop(a, b) AS ab, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM f),
+w AS (SELECT (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb,
+  ma, mb, my FROM c)"""
+
+
+def _linear(spark: SparkSession, sf: str):
+    frame = cut(clean.target_guard(listings(spark, sf)).filter(F.col("market") == "sale")
+                .select("listing_id", "price", "livable_surface",
+                        F.col("bedrooms").cast("double").alias("bedrooms")))
+    fitted = model.train_pipeline(frame, ["livable_surface", "bedrooms"], [], [],
+                                  LinearRegression(labelCol="price", solver="normal"))
+    return frame, fitted
+
+
+def _attribution(spark: SparkSession, sf: str) -> DataFrame:
+    frame, fitted = _linear(spark, sf)
+    lr, names = fitted.stages[-1], ["livable_surface", "bedrooms"]
+    means = frame.agg(*[F.avg(c).alias(c) for c in names]).first().asDict()
+    return model.linear_attribution(frame, dict(zip(names, map(float, lr.coefficients))),
+                                    float(lr.intercept), means)
+
+
+@query("attribution_linear", _OLS + """
+SELECT listing_id, 'livable_surface' AS feature, round(wa * (a - ma), 2) AS contribution, round(my, 2) AS base_value FROM f, w
+UNION ALL SELECT listing_id, 'bedrooms', round(wb * (b - mb), 2), round(my, 2) FROM f, w""")
+def attribution_linear(spark: SparkSession, sf: str) -> DataFrame:
+    return _attribution(spark, sf).withColumns({"contribution": F.round("contribution", 2),
+                                                "base_value": F.round("base_value", 2)})
+
+
+@query("top_drivers", _OLS + """
+, t AS (SELECT listing_id, 'livable_surface' AS feature, wa * (a - ma) AS v FROM f, w
+  UNION ALL SELECT listing_id, 'bedrooms', wb * (b - mb) FROM f, w)
+SELECT listing_id, feature, round(v, 2) AS contribution, CASE WHEN v >= 0 THEN 'up' ELSE 'down' END AS direction
+FROM t QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY abs(v) DESC, feature) = 1""")
+def top_drivers(spark: SparkSession, sf: str) -> DataFrame:
+    return model.top_drivers(_attribution(spark, sf), top=1).select(
+        "listing_id", "feature", F.round("contribution", 2).alias("contribution"), "direction")
+
+
+@query("batch_score", _OLS + """
+, s AS (SELECT listing_id, greatest(0E0, round_even((my + wa * (a - ma) + wb * (b - mb)) * 100, 0) / 100) AS prediction FROM f, w)
+SELECT listing_id, prediction, round_even(greatest(0E0, prediction - 75891E0) * 100, 0) / 100 AS low,
+  round_even((prediction + 75891E0) * 100, 0) / 100 AS high, 'total' AS unit FROM s""")
+def batch_score(spark: SparkSession, sf: str) -> DataFrame:
+    frame, fitted = _linear(spark, sf)
+    return model.batch_score(frame, fitted, mae=75891.0, market="sale").select(
+        "listing_id", "prediction", "low", "high", "unit")
+
+
+@query("train_models")
+def train_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Test metrics of the four regressors per market, with small ensembles."""
+    numeric, categorical = ["livable_surface", "bedrooms", "latitude", "longitude"], ["property_type",
+                                                                                      "province"]
+    data = cut(model.trim_outliers(model.hash_split(_frame(spark, sf))))
+    out = None
+    for market in ("sale", "rent"):
+        rows = data.filter(F.col("market") == market)
+        train = rows.filter("split = 'train'")
+        fitted = model.fit_scaling(train, numeric)
+        ready = model.prepare(rows, numeric, categorical, [], fitted)
+        for name, est in model.regressors(10, 5, 5, 4).items():
+            m = model.train_pipeline(ready.filter("split = 'train'"), numeric, categorical, [], est)
+            scored = m.transform(ready.filter("split = 'test'")).select(
+                "market", F.lit(name).alias("algorithm"), "price", "prediction")
+            res = model.regression_metrics(scored, ["market", "algorithm"])
+            out = res if out is None else out.unionByName(res)
+    return out

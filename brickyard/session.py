@@ -40,14 +40,17 @@ def work_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="brickyard-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brickyard-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(work_dir(df.sparkSession))
+        folder = work_dir(df.sparkSession)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

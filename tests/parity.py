@@ -55,12 +55,14 @@ def compare(spark, con, sf_dir, name, fn, sql):
     """(problem or None, spark seconds, duckdb seconds, rows)."""
     t0 = time.time()
     df = fn(spark, sf_dir)
-    got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    raw = [tuple(r) for r in df.collect()]
+    got_cols, got = rows_of(df.columns, raw)
     t1 = time.time()
     if sql is None:
         return (None if got else "no rows"), t1 - t0, 0.0, len(got)
     rel = con.sql(sql)
-    want_cols, want = rows_of(rel.columns, rel.fetchall())
+    raw_sql = rel.fetchall()
+    want_cols, want = rows_of(rel.columns, raw_sql)
     t2 = time.time()
     problem = None
     if got_cols != want_cols:
@@ -74,9 +76,18 @@ def compare(spark, con, sf_dir, name, fn, sql):
             problem = f"{len(bad)} rows differ of {len(got)}; first {bad[0][0]} != {bad[0][1]}"
         elif not got:
             problem = "no rows"
+    if problem is None:
+        exact = _exact(got_cols, df.columns, raw) == _exact(want_cols, rel.columns, raw_sql)
+        problem = None if exact else "equal to nine digits only"
     return problem, t1 - t0, t2 - t1, len(got)
 
 
+def _exact(order, columns, rows):
+    at = [columns.index(c) for c in order]
+    return sorted((tuple(repr(r[i] + 0.0) if isinstance(r[i], float) else str(r[i]) for i in at)
+                   for r in rows))
+
+
 def main(argv):
     from __spark_entry__ import oracle_sql, queries
     from brickyard.session import build_session
