@@ -129,10 +129,11 @@ SELECT market, feature, round(v, 6) AS importance,
   cast(row_number() OVER (PARTITION BY market ORDER BY round(v, 9) DESC, feature) AS integer) AS position FROM g""")
 def importance_rollup(spark: SparkSession, sf: str) -> DataFrame:
     rows = listings(spark, sf)
-    nums = rows.groupBy("market").agg(
-        *[F.corr(c, "price").alias(f"num__{c}") for c in ("livable_surface", "bedrooms")])
-    out = nums.unpivot(["market"], ["num__livable_surface", "num__bedrooms"], "name", "importance")
-    out = out.withColumn("importance", F.abs("importance"))
+    out = None
+    for c in ("livable_surface", "bedrooms"):
+        one = rows.groupBy("market").agg(F.corr(c, "price").alias("r")).select(
+            "market", F.lit(f"num__{c}").alias("name"), F.abs("r").alias("importance"))
+        out = one if out is None else out.unionByName(one)
     totals = rows.groupBy("market").agg(F.count("*").alias("total"))
     for c, weight in (("property_type", 1.0), ("province", 0.5)):
         share = rows.groupBy("market", c).count().join(totals, "market").select(

@@ -78,7 +78,8 @@ def ppsqm_percentile(spark: SparkSession, sf: str) -> DataFrame:
 , t AS (SELECT market, cast(floor(latitude / 0.05E0) AS bigint) AS ty,
     cast(floor(longitude / 0.05E0) AS bigint) AS tx, median(price_per_sqm) AS price_per_sqm,
     count(*) AS n FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 5)
-SELECT t.market, ty, tx, round((ty + 0.5E0) * 0.05E0, 5) AS lat, round((tx + 0.5E0) * 0.05E0, 5) AS lon,
+SELECT t.market, ty, tx, round_even((ty + 0.5E0) * 0.05E0 * 100000, 0) / 100000 AS lat,
+  round_even((tx + 0.5E0) * 0.05E0 * 100000, 0) / 100000 AS lon,
   t.price_per_sqm, n, round_even(count(*) FILTER (WHERE p.price_per_sqm <= t.price_per_sqm)
     * 100.0E0 / count(*) * 10, 0) / 10 AS percentile,
   m.national_ppsqm

@@ -64,8 +64,8 @@ def tiles(points: DataFrame, width: float = TILE_DEG, at_least: int = TILE_MIN)
     ranked = with_percentile(med.filter(F.col("n") >= at_least), points, ["market"],
                              "price_per_sqm", "percentile")
     return ranked.select("market", "ty", "tx",
-                         F.round((F.col("ty") + 0.5) * width, 5).alias("lat"),
-                         F.round((F.col("tx") + 0.5) * width, 5).alias("lon"),
+                         money.rounded((F.col("ty") + 0.5) * width, 5).alias("lat"),
+                         money.rounded((F.col("tx") + 0.5) * width, 5).alias("lon"),
                          "price_per_sqm", "percentile", "n")
 
 
