@@ -190,4 +190,4 @@ def array_median(values: Column) -> Column:
     n = F.size(s)
     low = F.get(s, F.floor((n - 1) / 2).cast("int"))
     high = F.get(s, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, low + (high - low) / 2)
+    return F.when(n > 0, (low + high) / 2)

@@ -15,7 +15,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickyard.session import cut
+
 BINS_PER_E = 4096
+BROADCAST_ROWS = 100_000
 
 
 def value_bin(v: Column) -> Column:
@@ -82,6 +85,11 @@ def group_quantiles(df: DataFrame, keys: Sequence[str],
             .select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)],
                     F.col("_m").alias("_hm"), F.col("_bin").alias("_hbin"),
                     "_needs", "_total"))
+    # at most two bins per wanted quantile and group; when they are few, the second pass
+    # filters the rows where they are read instead of shuffling them
+    hits = cut(hits)
+    if hits.count() <= BROADCAST_ROWS:
+        hits = F.broadcast(hits)
 
     pairs = [(k, f"_h{i}") for i, k in enumerate(keys)]
     cond = (_same(rows, hits, pairs) & (rows["_m"] == hits["_hm"])
@@ -102,7 +110,9 @@ def group_quantiles(df: DataFrame, keys: Sequence[str],
     aggs = []
     for i, (out, _, _) in enumerate(specs):
         low, high = at(i, 0, F.col("_v")), at(i, 1, F.col("_v"))
-        aggs.append((low + (high - low) * at(i, 0, F.col("_x.frac"))).alias(out))
+        frac = at(i, 0, F.col("_x.frac"))
+        aggs.append(F.when(frac == 0.5, (low + high) / 2)
+                    .otherwise(low + (high - low) * frac).alias(out))
     if count_as:
         aggs.append(F.max(F.when(F.col("_x.q") == 0, F.col("_total"))).alias(count_as))
     out = picked.groupBy(*keys).agg(*aggs)

@@ -15,9 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small fact table out to all cores.
+
+    A table of one row group is read by one task whatever the number of cores. Tables with
+    at least one scan task per core, such as any large one, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def listings(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
     """One listing per line item (batch or stream), located by supplier, nation and region."""
-    li = items if items is not None else table(spark, sf_dir, "lineitem")
+    li = items if items is not None else spread(table(spark, sf_dir, "lineitem"))
     part = table(spark, sf_dir, "part")
     geo = (table(spark, sf_dir, "supplier")
            .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
