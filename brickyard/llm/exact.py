@@ -104,10 +104,8 @@ class Shard:
             if e.kind == "filter":
                 raw = bytes(e.filter)
             else:
-                keep = None if pd.isna(e.keep_id) else int(e.keep_id)
-                self.keys[bytes(e.key)] = [int(e.n_bytes), int(e.seal), int(e.live),
-                                           (int(e.neg_chars), bool(e.no_id), keep or 0), keep,
-                                           bool(e.stale)]
+                self.keys[bytes(e.key)] = [e.n_bytes, e.seal, e.live,
+                                           (e.neg_chars, e.no_id, e.keep_id), e.stale]
         self.filter = CuckooFilter.load(raw) if raw else CuckooFilter.built(self.keys, 64)
         self.resizes = 0
 
@@ -120,19 +118,18 @@ class Shard:
             raise ValueError("two texts with one SHA-256 digest")
         return entry
 
-    def insert(self, key, n_bytes, seal, n, rank, keep) -> None:
+    def insert(self, key, n_bytes, seal, n, rank) -> None:
         entry = self.stored(key, n_bytes, seal)
         if entry is None:
-            self.keys[key] = [n_bytes, seal, n, rank, keep, False]
+            self.keys[key] = [n_bytes, seal, n, rank, False]
             if not self.filter.add(key):
                 self.filter = CuckooFilter.built(self.keys, 2 * len(self.filter.table))
                 self.resizes += 1
         else:
             entry[2] += n
-            if rank < entry[3]:
-                entry[3], entry[4] = rank, keep
+            entry[3] = min(entry[3], rank)
 
-    def delete(self, key, n_bytes, seal, n, keep) -> None:
+    def delete(self, key, n_bytes, seal, n, rank) -> None:
         entry = self.stored(key, n_bytes, seal)
         if entry is None:
             return
@@ -140,16 +137,13 @@ class Shard:
         if entry[2] <= 0:
             del self.keys[key]
             self.filter.remove(key)
-        elif keep == entry[4]:
-            entry[5] = True
+        elif rank == entry[3]:
+            entry[4] = True
 
     def rows(self, shard: int) -> pd.DataFrame:
-        out = [(shard, "key", k, e[0], e[1], e[2], e[3][0], e[3][1], e[4], e[5], None)
-               for k, e in self.keys.items()]
-        out.append((shard, "filter", None, None, None, None, None, None, None, None,
-                    self.filter.dump()))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _ENTRY.split(", ")])
-        return frame.astype({c: "Int64" for c in ("n_bytes", "seal", "live", "neg_chars", "keep_id")})
+        out = [(shard, "key", k, *e[:3], *e[3], e[4], None) for k, e in self.keys.items()]
+        out.append((shard, "filter", None, 0, 0, 0, 0, False, 0, False, self.filter.dump()))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _ENTRY.split(", ")])
 
 
 def normalised(text: Column) -> Column:
@@ -188,7 +182,7 @@ def apply_changes(index: DataFrame | None, inserts: DataFrame, deletes: DataFram
                 .agg(F.count("*").alias("n"),
                      F.min(F.struct((-F.col("n_chars")).alias("neg_chars"),
                                     F.col("doc_id").isNull().alias("no_id"),
-                                    F.col("doc_id").alias("keep_id"))).alias("best"))
+                                    F.coalesce("doc_id", F.lit(0)).alias("keep_id"))).alias("best"))
                 .select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"),
                         F.lit(sign).alias("sign"), "key", "n_bytes", "seal", "n", "best.*"))
 
@@ -199,12 +193,8 @@ def apply_changes(index: DataFrame | None, inserts: DataFrame, deletes: DataFram
     def one(number: int, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         shard = Shard(old)
         for c in new.sort_values("sign", kind="stable").itertuples(index=False):
-            keep = None if pd.isna(c.keep_id) else int(c.keep_id)
-            if c.sign < 0:
-                shard.delete(bytes(c.key), c.n_bytes, c.seal, c.n, keep)
-            else:
-                shard.insert(bytes(c.key), c.n_bytes, c.seal, c.n,
-                             (c.neg_chars, c.no_id, keep or 0), keep)
+            change = shard.delete if c.sign < 0 else shard.insert
+            change(bytes(c.key), c.n_bytes, c.seal, c.n, (c.neg_chars, c.no_id, c.keep_id))
         return shard.rows(number)
 
     if index is None:
@@ -220,7 +210,7 @@ def refreshed(index: DataFrame, live: DataFrame) -> DataFrame:
     due = index.filter("stale").select("key")
     best = (live.join(due, "key", "left_semi").groupBy("key")
             .agg(F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"),
-                                F.col("doc_id").alias("i"))).alias("b")))
+                                F.coalesce("doc_id", F.lit(0)).alias("i"))).alias("b")))
     hit = F.col("b").isNotNull()
     return (index.join(best, "key", "left")
             .withColumns({"neg_chars": F.when(hit, F.col("b.c")).otherwise(F.col("neg_chars")),
@@ -230,6 +220,13 @@ def refreshed(index: DataFrame, live: DataFrame) -> DataFrame:
             .select(index.columns))
 
 
+def kept_keys(index: DataFrame) -> DataFrame:
+    """(key, keep_id, group_size) of every live digest."""
+    return index.filter("kind = 'key'").select(
+        "key", F.when(~F.col("no_id"), F.col("keep_id")).alias("keep_id"),
+        F.col("live").alias("group_size"))
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ) -> tuple[DataFrame, DataFrame]:
     """(signatures, index) of a table, both written: texts are read once."""
@@ -240,7 +237,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows, index = build_index(docs, id_col, text_col)
-    keys = index.filter("kind = 'key'").select("key", "keep_id", F.col("live").alias("group_size"))
+    keys = kept_keys(index)
     return (rows.join(keys, "key")
             .select("doc_id", "keep_id", "group_size",
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -252,7 +249,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` without the rows that are not kept; all columns as they are."""
     _, index = build_index(docs, id_col, text_col)
     key, kept, own = (fresh(docs, c) for c in ("_key", "_kept_id", "_own_key"))
-    keep = index.filter("kind = 'key'").select(F.col("key").alias(key), F.col("keep_id").alias(kept))
+    keep = kept_keys(index).select(F.col("key").alias(key), F.col("keep_id").alias(kept))
     rows = docs.withColumn(own, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
     return (rows.join(keep, (F.col(own) == F.col(key))
                       & F.col(id_col).cast("bigint").eqNullSafe(F.col(kept)), "left_semi")

@@ -90,8 +90,8 @@ def shingles(words: np.ndarray, row: np.ndarray, rows: int, width: int
     mult = mix(np.arange(1, width + 1, dtype=_U) * _U(_BASE)) | _U(1)
     n = len(words)
     acc = np.zeros(n, _U)
-    for j in range(width):
-        acc[:n - j] += words[j:] * mult[j] if j else words * mult[0]
+    for j in range(min(n, width)):
+        acc[:n - j] += words[j:] * mult[j]
     runs = np.where(count >= width, count - width + 1, (count > 0).astype(np.int64))
     bounds = np.concatenate(([0], np.cumsum(runs)))
     which = np.repeat(np.arange(rows), runs)
