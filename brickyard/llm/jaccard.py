@@ -5,17 +5,20 @@ five-word shingles as 64-bit hashes. Two documents link at 100 * shared >= 75 *
 
 1. One pass over the texts gives each row's set size, a 128-bit set key and a 64-cell
    histogram, and counts shingles that repeat within a batch of documents. The
-   ``ORDER_ROWS`` most frequent ones make the rare-first order; others count as rare and
+   most frequent ones, at most ``ORDER_ROWS``, make the rare-first order; others count as rare and
    are ordered by hash. The order only steers how many candidates there are.
 2. Equal sets form classes. A second pass sends each set's prefix (one set per batch and
    key) to buckets of shingles; frequent shingles are spread by document. Shingles that one
    document alone has leave here, all others are written as postings (shingle, class, size,
    position).
-3. Round one pairs each posting with the smallest class of its shingle: as many pairs as
-   postings, however large a group of copies is. Pairs pass the length, positional and
-   suffix filters and are verified once, on whole sets.
-4. Round two takes the shingles whose classes are not all connected by then and pairs the
-   classes of different components, so every link that could join components is verified.
+3. Round one pairs each posting with one class of its shingle: as many pairs as postings,
+   however large a group of copies is. Pairs pass the length, positional and suffix filters
+   and are verified once, on whole sets.
+4. Round two does the same with more hashes for shingles whose classes are not all connected
+   by then, so that a class at a large group's border meets several of its members.
+5. Round three pairs all classes of different components that share a shingle still open, so
+   every link that could join components is verified. Its smaller sides come from the
+   shorter index prefix.
 
 Defined results: null, empty or wordless text has an empty set and links with nothing; fewer
 than five words are one shingle. A row without doc_id links with nothing and has a null
@@ -39,6 +42,7 @@ WIDTH = 5
 SHARE = 75            # per cent of the union that linked sets have in common
 CELLS = 64            # cells of the suffix filter's histogram
 ORDER_ROWS = 1 << 17  # shingles with a known frequency, the most frequent ones
+PIVOTS = 4            # hashes by which a shingle's common partner is chosen
 BUCKET_ROWS = 1 << 20  # prefix postings a bucket is planned for
 
 _INFO = ("doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, cells binary, "
@@ -214,9 +218,17 @@ class Join:
         self.postings = self._postings()
 
     def _order(self):
-        top = (self.info.filter("shingle IS NOT NULL").groupBy("shingle")
-               .agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle")
-               .limit(ORDER_ROWS).toPandas())
+        """Frequent shingles and their counts: all above the count that ORDER_ROWS allows."""
+        times = stage(self.info.filter("shingle IS NOT NULL").groupBy("shingle")
+                      .agg(F.sum("times").alias("times")), "jaccard-times")
+        size = F.floor(F.log2("times")).cast("int")
+        least, rows = 1 << 62, 0
+        for power, n in times.groupBy(size.alias("p")).count().orderBy(F.desc("p")).collect():
+            rows += n
+            if rows > ORDER_ROWS:
+                break
+            least = 1 << power
+        top = times.filter(F.col("times") >= least).toPandas()
         known = top["shingle"].to_numpy(np.int64).view(np.uint64)
         by = np.argsort(known)
         return self.spark.sparkContext.broadcast((known[by], top["times"].to_numpy(np.int64)[by]))
@@ -235,19 +247,15 @@ class Join:
         return stage(named, "jaccard-postings")
 
     def _passing(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) of rows (a, na, pa, b, nb, pb) after all filters."""
-        s = self.share
-        room = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-        pairs = (pairs.filter(100 * F.least("na", "nb") >= s * F.greatest("na", "nb"))
-                 .filter((100 + s) * room >= s * (F.col("na") + F.col("nb")))
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        """Distinct written pairs (a, b) of rows (a, b) after the suffix filter."""
+        pairs = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                  .filter("a <> b").distinct())
         for side in "ab":
             cells = self.classes.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n{side}"),
                                         F.col("cells").alias(f"c{side}"))
             pairs = pairs.join(cells, side)
         kept = pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(
-            _suffix(s), "a bigint, b bigint")
+            _suffix(self.share), "a bigint, b bigint")
         return stage(kept.distinct(), "jaccard-pairs")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
@@ -269,30 +277,54 @@ class Join:
         return stage(both.select("a", "b", "sa", "sb").mapInArrow(
             _verified(self.share), "a bigint, b bigint").distinct(), "jaccard-links")
 
-    def _pivot_pairs(self) -> DataFrame:
-        own = F.struct(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-        pivots = stage(self.postings.groupBy("shingle").agg(F.min(own).alias("pivot"),
-                                                            F.max("rep").alias("last"))
-                       .filter("pivot.b < last").select("shingle", "pivot.*"), "jaccard-pivots")
-        return self._passing(self.postings.join(pivots, "shingle").filter("rep <> b").select(
-            F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"),
-            "b", "nb", "pb"))
-
-    def _open_pairs(self, labels: DataFrame, seen: DataFrame) -> DataFrame:
-        """Pairs of different components that share a prefix shingle, not looked at before."""
+    def _pivot_pairs(self, post: DataFrame, lots: int, seed: int) -> DataFrame:
+        """A pair for each posting, with the class of its shingle that comes first by a hash.
+
+        Shingles fall into ``lots`` lots with a hash each, so the members of a large group
+        meet a few common classes. The length filter and the positional filter for any shared
+        shingle hold for every pair; what is left out here is met in ``_open_pairs``.
+        """
+        s, lot = self.share, F.pmod("shingle", F.lit(lots)) + seed
+        own = F.struct(F.xxhash64("rep", lot).alias("h"), F.col("rep").alias("b"),
+                       F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+        pivots = stage(post.groupBy("shingle").agg(
+            F.min(own).alias("pivot"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+            .filter("low < high").select("shingle", "pivot.b", "pivot.nb", "pivot.pb", "pivot.lb"),
+            "jaccard-pivots")
+        rows = post.join(pivots, "shingle").withColumnsRenamed({"rep": "a", "n": "na", "pos": "pa"})
+        room = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        return self._passing(rows.filter(
+            (F.col("label") != F.col("lb")) & (100 * F.least("na", "nb") >= s * F.greatest("na", "nb"))
+            & ((100 + s) * room >= s * (F.col("na") + F.col("nb")))))
+
+    def _open(self, labels: DataFrame) -> DataFrame:
+        """Labelled postings of the shingles whose classes are not all in one component."""
         post = (self.postings.join(labels, F.col("rep") == F.col("node"), "left")
                 .select("shingle", "rep", "n", "pos", F.coalesce("label", "rep").alias("label")))
         post = stage(post, "jaccard-labelled")
         mixed = (post.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                  .filter("low < high").select("shingle"))
-        post = stage(post.join(mixed, "shingle", "left_semi"), "jaccard-open")
-        one = post.select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"),
-                          F.col("pos").alias("pa"), F.col("label").alias("la"))
+        return stage(post.join(mixed, "shingle", "left_semi"), "jaccard-open")
+
+    def _open_pairs(self, post: DataFrame) -> DataFrame:
+        """Pairs of different components that share a prefix shingle of ``_open``.
+
+        At the first shingle two sets share, the overlap is at most what either has from
+        there on, and later shared shingles only leave less; so each row is held to that
+        bound. The smaller set can meet it in its index prefix alone, which is shorter.
+        """
+        s = self.share
+        one = (post.filter((100 + s) * (F.col("n") - F.col("pos")) >= 2 * s * F.col("n"))
+               .select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"),
+                       F.col("pos").alias("pa"), F.col("label").alias("la")))
         two = post.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"),
                           F.col("pos").alias("pb"), F.col("label").alias("lb"))
-        near = (100 * F.least("na", "nb") >= self.share * F.greatest("na", "nb"))
-        pairs = self._passing(one.join(two, "shingle").filter((F.col("la") < F.col("lb")) & near))
-        return stage(pairs.join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
+        need = s * (F.col("na") + F.col("nb"))
+        fits = ((F.col("la") != F.col("lb")) & (100 * F.col("na") >= s * F.col("nb"))
+                & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+                & ((100 + s) * (F.col("na") - F.col("pa")) >= need)
+                & ((100 + s) * (F.col("nb") - F.col("pb")) >= need))
+        return self._passing(one.join(two, "shingle").filter(fits))
 
     def labels(self) -> DataFrame:
         """(node, label) of every class representative that is linked with another."""
@@ -300,16 +332,21 @@ class Join:
                    .filter("a < b").select("a", "b"))
         own = (self.nodes.join(repeats.select("b"), F.col("rep") == F.col("b"), "left_semi")
                .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-        pairs = self._pivot_pairs()
-        links = self._links(pairs)
-        links = stage(links.unionByName(repeats).unionByName(own).filter("a <> b").distinct(),
-                      "jaccard-edges")
+        seen = self._pivot_pairs(self.postings.withColumn("label", F.col("rep")), PIVOTS, 0)
+        links = stage(self._links(seen).unionByName(repeats).unionByName(own).filter("a <> b")
+                      .distinct(), "jaccard-edges")
         labels = stage(connected_components(links, "a", "b"), "jaccard-labels")
-        more = self._open_pairs(labels, pairs)
-        if more.isEmpty():
-            return labels
-        edges = links.unionByName(self._links(more))
-        return stage(connected_components(edges, "a", "b"), "jaccard-labels")
+        for find in (lambda post: self._pivot_pairs(post, 4 * PIVOTS, PIVOTS), self._open_pairs):
+            more = stage(find(self._open(labels)).join(seen, ["a", "b"], "left_anti"), "jaccard-more")
+            if more.isEmpty():
+                continue
+            new = self._links(more)
+            seen = seen.unionByName(more)
+            if new.isEmpty():
+                continue
+            links = links.unionByName(new)
+            labels = stage(connected_components(links, "a", "b"), "jaccard-labels")
+        return labels
 
     def components(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id."""
