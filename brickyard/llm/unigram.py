@@ -28,6 +28,7 @@ from brickyard.llm import words as W
 
 MARK = "▁"
 PENALTY = 10.0
+KNOWN = 400_000  # distinct parts a task remembers
 
 
 @dataclass
@@ -37,6 +38,7 @@ class Vocabulary:
     pieces: dict[str, float]
     bytes_for_unknown: bool
     automaton: object = field(default=None, repr=False)
+    known: dict[int, tuple[int, float]] = field(default_factory=dict, repr=False)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -50,9 +52,6 @@ class Vocabulary:
                           or model.is_unused(i))}
         return cls(pieces, any(model.is_byte(i) for i in ids))
 
-    def __getstate__(self):
-        return {"pieces": self.pieces, "bytes_for_unknown": self.bytes_for_unknown, "automaton": None}
-
     def ready(self) -> Vocabulary:
         """Build the automaton; once per task."""
         import ahocorasick
@@ -105,20 +104,26 @@ def parts_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def column_counts(vocabulary: Vocabulary, column: pa.Array) -> Iterator[tuple[int, float]]:
     """(tokens, score) of each text of a column."""
-    for _, data, offsets in W.texts(column, 1 << 25):
+    for _, data, offsets in W.texts(column):
         rows = len(offsets) - 1
         start, row = parts_of(data, offsets)
         stop = np.append(start[1:], len(data))
         # The first part of a text gets the leading mark, so it is told apart from later ones.
-        lead = np.isin(start, offsets[:-1]).astype(np.uint64)
-        _, first, which = np.unique(W.hashes(data, start, stop) ^ W.mix(lead), return_index=True,
-                                    return_inverse=True)
-        raw, known = data.tobytes(), []
-        for i in first:
-            text = raw[start[i]:stop[i]].decode().replace(" ", MARK)
-            known.append(vocabulary.count(MARK + text if lead[i] else text))
-        size = np.array([k[0] for k in known], np.int64)
-        score = np.array([k[1] for k in known])
+        lead = np.isin(start, offsets[:-1])
+        key, first, which = np.unique(W.hashes(data, start, stop) ^ W.mix(lead.astype(np.uint64)),
+                                      return_index=True, return_inverse=True)
+        if len(vocabulary.known) > KNOWN:
+            vocabulary.known.clear()
+        raw, found = data.tobytes(), []
+        for k, a, b, leads in zip(key.tolist(), start[first].tolist(), stop[first].tolist(),
+                                  lead[first].tolist()):
+            own = vocabulary.known.get(k)
+            if own is None:
+                text = raw[a:b].decode().replace(" ", MARK)
+                own = vocabulary.known[k] = vocabulary.count(MARK + text if leads else text)
+            found.append(own)
+        size = np.array([f[0] for f in found], np.int64)
+        score = np.array([f[1] for f in found])
         yield from zip(np.bincount(row, size[which], rows).astype(np.int64).tolist(),
                        np.bincount(row, score[which], rows).tolist())
 
