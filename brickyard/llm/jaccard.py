@@ -45,6 +45,8 @@ ORDER_ROWS = 1 << 17  # shingles with a known frequency, the most frequent ones
 PIVOTS = 4            # hashes by which a shingle's common partner is chosen
 BUCKET_ROWS = 1 << 20  # prefix postings a bucket is planned for
 
+BROADCAST_ROWS = 1 << 20  # counted ids up to which texts are picked without a shuffle
+
 _INFO = ("doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, cells binary, "
          "shingle bigint, times bigint")
 _POSTING = np.dtype([("shingle", "<i8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -270,6 +272,7 @@ class Join:
 
         due = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(),
                     "jaccard-due")
+        due = F.broadcast(due) if due.count() <= BROADCAST_ROWS else due
         items = stage(self.docs.join(due, "doc_id", "left_semi").select("doc_id", "text")
                       .mapInArrow(sets, "rep bigint, items binary"), "jaccard-sets")
         both = (pairs.join(items.select(F.col("rep").alias("b"), F.col("items").alias("sb")), "b")
@@ -297,9 +300,9 @@ class Join:
             (F.col("label") != F.col("lb")) & (100 * F.least("na", "nb") >= s * F.greatest("na", "nb"))
             & ((100 + s) * room >= s * (F.col("na") + F.col("nb")))))
 
-    def _open(self, labels: DataFrame) -> DataFrame:
-        """Labelled postings of the shingles whose classes are not all in one component."""
-        post = (self.postings.join(labels, F.col("rep") == F.col("node"), "left")
+    def _open(self, post: DataFrame, labels: DataFrame) -> DataFrame:
+        """Labelled rows of ``post`` whose shingle's classes are not all in one component."""
+        post = (post.drop("label").join(labels, F.col("rep") == F.col("node"), "left")
                 .select("shingle", "rep", "n", "pos", F.coalesce("label", "rep").alias("label")))
         post = stage(post, "jaccard-labelled")
         mixed = (post.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -336,8 +339,10 @@ class Join:
         links = stage(self._links(seen).unionByName(repeats).unionByName(own).filter("a <> b")
                       .distinct(), "jaccard-edges")
         labels = stage(connected_components(links, "a", "b"), "jaccard-labels")
+        post = self.postings
         for find in (lambda post: self._pivot_pairs(post, 4 * PIVOTS, PIVOTS), self._open_pairs):
-            more = stage(find(self._open(labels)).join(seen, ["a", "b"], "left_anti"), "jaccard-more")
+            post = self._open(post, labels)
+            more = stage(find(post).join(seen, ["a", "b"], "left_anti"), "jaccard-more")
             if more.isEmpty():
                 continue
             new = self._links(more)
