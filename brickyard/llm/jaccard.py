@@ -3,7 +3,7 @@
 Words are runs of non-white characters, A-Z lower-cased; a document's set holds its distinct
 five-word shingles as 64-bit hashes. Two documents link at 100 * shared >= 75 * union.
 
-1. One pass over the texts gives each row's set size, a 128-bit set key and a 64-cell
+1. One pass over the texts gives each row's set size, a 128-bit set key and a 256-cell
    histogram, and counts shingles that repeat within a batch of documents. The
    most frequent ones, at most ``ORDER_ROWS``, make the rare-first order; others count as rare and
    are ordered by hash. The order only steers how many candidates there are.
@@ -40,7 +40,7 @@ from brickyard.operators.components import connected_components
 
 WIDTH = 5
 SHARE = 75            # per cent of the union that linked sets have in common
-CELLS = 64            # cells of the suffix filter's histogram
+CELLS = 256           # cells of the suffix filter's histogram
 ORDER_ROWS = 1 << 17  # shingles with a known frequency, the most frequent ones
 PIVOTS = 4            # hashes by which a shingle's common partner is chosen
 BUCKET_ROWS = 1 << 20  # prefix postings a bucket is planned for
@@ -69,9 +69,9 @@ def _key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _cells(s: np.ndarray) -> bytes | None:
-    """Set size in each cell of the hash space, or None for sets too large for two bytes."""
-    count = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS)
-    return count.astype("<u2").tobytes() if count.max() < 1 << 16 else None
+    """Set size in each cell of the hash space, or None for sets too large for one byte."""
+    count = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else None
 
 
 def _scan(width: int):
@@ -181,7 +181,7 @@ def _suffix(share: int):
             need = np.array([share * (x + y) for x, y in zip(batch.column("na").to_pylist(),
                                                              batch.column("nb").to_pylist())])
             room = np.array([(100 + share) * (min(n, m) if x is None or y is None else int(
-                np.minimum(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")).sum()))
+                np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum()))
                 for x, y, n, m in zip(*(batch.column(c).to_pylist()
                                         for c in ("ca", "cb", "na", "nb")))])
             keep = pa.array((room >= need) if len(need) else np.zeros(0, bool))
