@@ -135,7 +135,8 @@ def clean_model_frame(df: DataFrame, id_col: str = "listing_id") -> DataFrame:
     """Model table: distinct, one row per id, plausible target, cleaned features."""
     from brickyard.operators.dedup import first_per_key
 
-    out = first_per_key(df.distinct(), [id_col], [F.col("scraped_at").asc_nulls_last()])
+    out = first_per_key(df.distinct(), [id_col], [F.col("scraped_at").asc_nulls_last(), F.col("price").asc_nulls_last(),
+                                              F.xxhash64(*sorted(df.columns)).asc()])
     out = binary_flags(null_impossible(target_guard(out)))
     keep = [c for c in S.MODEL_FEATURES if c in out.columns]
     return out.select(id_col, "market", *keep, "price")

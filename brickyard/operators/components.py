@@ -19,8 +19,7 @@ def _fingerprint(edges: DataFrame) -> tuple[int, str]:
     return int(row[0]), row[1] or ""
 
 
-def connected_components(edges: DataFrame, src: str, dst: str,
-                         max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Label every node that has an edge: (node, label), label = smallest node.
 
     The roots themselves are not in the result; a node without a row is its own label.
@@ -30,7 +29,7 @@ def connected_components(edges: DataFrame, src: str, dst: str,
     mark = _fingerprint(cur)
     if mark[0] == 0:
         return cur.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         low = low.withColumn("m", F.least("n", "m"))
@@ -47,4 +46,3 @@ def connected_components(edges: DataFrame, src: str, dst: str,
         if new == mark:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("label"))
         mark = new
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

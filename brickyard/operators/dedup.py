@@ -239,9 +239,13 @@ def priority_table(df_session, weights: Mapping[str, float]) -> DataFrame:
 
 
 def _tie_order(df: DataFrame) -> list[Column]:
+    """Total order of rows that tie: times, url, id, price, then a hash of the whole row."""
     late = F.lit("9999-12-31T00:00:00")
     order = [F.coalesce(F.col("scraped_at").cast("string"), late)] if "scraped_at" in df.columns else []
-    return [*order, F.coalesce("url", F.lit("￿")), F.col("listing_id")]
+    order += [F.coalesce("url", F.lit("￿")), F.col("listing_id")]
+    if "price" in df.columns:
+        order.append(F.coalesce(F.col("price").cast("double"), F.lit(float("inf"))))
+    return [*order, F.xxhash64(*[c for c in sorted(df.columns) if c != "cluster_id"])]
 
 
 def resolve_clusters(df: DataFrame, columns: Sequence[str],
@@ -249,7 +253,7 @@ def resolve_clusters(df: DataFrame, columns: Sequence[str],
     """One row per cluster: the fullest record, its gaps filled from its duplicates.
 
     ``df`` needs ``cluster_id`` and ``source_weight``. Ties go to the heavier source, then
-    to scraped_at, url, listing_id. Gaps are filled from the heaviest source that has a
+    to scraped_at, url, listing_id, price. Gaps are filled from the heaviest source that has a
     value. Everything is one combinable aggregation, so a cluster of any size never sits
     in one task.
     """

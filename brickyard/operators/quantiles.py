@@ -167,10 +167,12 @@ def with_percentile(df: DataFrame, points: DataFrame, keys: Sequence[str], value
                     out: str, probe: str | None = None, digits: int | None = 1) -> DataFrame:
     """Add the percentile (0-100) of ``df.probe`` among ``points.value`` of its group.
 
-    NULL or NaN values, and groups without points, get 50.
+    NULL, NaN and infinite values, and groups without points, get 50; such points do not count.
     """
     keys, probe = list(keys), probe or value
+    finite = F.abs(F.col(value)) < float("inf")
     own = points is df and probe == value
+    points = points.filter(finite)
     asked = None if own else df.select(*keys, F.col(probe).alias(value))
     ranks = value_ranks(points, keys, value, asked)
     ranks = ranks.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)],

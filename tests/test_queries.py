@@ -3,14 +3,15 @@
 import pytest
 
 import parity
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from brickyard.plans.catalog import QUERIES, SQL
 from conftest import SF
 
 # The SQL of these searches a fixed window around each listing, which is too small for the
 # sparse smallest tables; test_spatial compares the operator with brute force.
 WINDOWED = {"knn_join", "knn_loo", "knn_confidence", "neighbourhood_index", "serve_index"}
 # These need unique listing ids; the smallest tables hold one id twice, the next ones none.
-KEYED = {"clean_model_frame", "dedupe_listings", "eda_corr", "hash_split", "impute_scale",
+KEYED = {"clean_model_frame", "eda_corr", "hash_split", "impute_scale",
          "trim_outliers", "pages_to_listings"}
 UNIQUE = "/root/testdata/sf0.01"
 
@@ -21,16 +22,16 @@ def duck():
 
 
 def test_every_sql_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"train_models"}
+    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) - set(SQL) == {"train_models"}
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - WINDOWED - {"train_models"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WINDOWED - {"train_models"}))
 def test_query(spark, duck, name):
     sf = UNIQUE if name in KEYED else SF
-    problem, *_ = parity.compare(spark, duck[sf], sf, name, queries()[name], oracle_sql()[name])
+    problem, *_ = parity.compare(spark, duck[sf], sf, name, QUERIES[name], SQL[name])
     assert problem is None or (problem == "no rows" and name == "build_surface"), problem
