@@ -39,7 +39,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def texts(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of slices of at most ``most`` bytes or one text; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
