@@ -1,7 +1,7 @@
 """WARC archives: writing, reading, and revisit resolution by payload digest.
 
-An archive is a folder of WARC/1.1 files that Spark writes as text parts whose line separator
-is the two line ends that close a record. Only headers are shuffled by digest; payloads move
+An archive is a folder of gzip-compressed WARC/1.1 files that Spark writes as text parts whose
+line separator is the two line ends that close a record. Only headers are shuffled by digest; payloads move
 once, to the file they are written to. Files are dealt out by total size, so one file fits in
 a task when it is read back.
 
@@ -14,6 +14,7 @@ that repeat an id with an equal payload are responses alike.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -84,7 +85,7 @@ def _write(rows: DataFrame, path: str) -> None:
              F.lit("Content-Type: application/http;msgtype=response"),
              F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
     rows.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block).alias("value")) \
-        .write.option("lineSep", END).text(path)
+        .write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def _decided(rows: DataFrame, min_bytes: int, file_bytes: int) -> DataFrame:
@@ -151,7 +152,8 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for raw in batch["content"]:
-                rows = [_row(h, b)[:len(names)] for h, b in _records(bytes(raw))]
+                whole = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else bytes(raw)
+                rows = [_row(h, b)[:len(names)] for h, b in _records(whole)]
                 yield pd.DataFrame(rows, columns=names).astype(
                     {"payload_bytes": "Int64", "block_bytes": "Int64"})
 
