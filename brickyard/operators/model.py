@@ -10,8 +10,8 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brickyard import schema as S
@@ -145,10 +145,7 @@ def search_space(algorithm: str, draws: int = 40) -> list[dict[str, float]]:
 def tune(algorithm: str, estimator, train: DataFrame, space: Sequence[Mapping[str, object]],
          folds: int = 4, parallelism: int = 2, fold_col: str | None = None) -> CrossValidatorModel:
     """Cross-validated search by R²; ``fold_col`` gives spatial instead of random folds."""
-    maps = []
-    for params in space:
-        grid = ParamGridBuilder().baseOn({estimator.getParam(k): v for k, v in params.items()})
-        maps.extend(grid.build())
+    maps = [{estimator.getParam(k): v for k, v in params.items()} for params in space]
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, numFolds=folds, seed=SEED,
                         parallelism=parallelism, evaluator=RegressionEvaluator(
                             labelCol="price", predictionCol="prediction", metricName="r2"))
@@ -228,6 +225,16 @@ def feature_names(model: PipelineModel, numeric: Sequence[str], categorical: Seq
     return names
 
 
+def fitted_importances(fitted: PipelineModel, market: str, numeric: Sequence[str],
+                       categorical: Sequence[str], flags: Sequence[str]) -> DataFrame:
+    """Importances of a fitted tree model (market, name, importance), one row per vector entry."""
+    values = fitted.stages[-1].featureImportances.toArray().tolist()
+    names = feature_names(fitted, numeric, categorical, flags)
+    return SparkSession.active().createDataFrame(
+        [(market, n, v) for n, v in zip(names, values, strict=True)],
+        "market string, name string, importance double")
+
+
 def linear_attribution(df: DataFrame, coefficients: Mapping[str, float], intercept: float,
                        means: Mapping[str, float], id_col: str = "listing_id") -> DataFrame:
     """Exact contributions ``coef * (x - mean)``: id, base, feature, contribution (long)."""
