@@ -7,13 +7,14 @@ five-word shingles as 64-bit hashes. Two documents link at 100 * shared >= 75 *
    histogram, and counts shingles that repeat within a batch of documents. The
    most frequent ones, at most ``ORDER_ROWS``, make the rare-first order; others count as rare and
    are ordered by hash. The order only steers how many candidates there are.
-2. Equal sets form classes. A second pass sends each set's prefix (one set per batch and
-   key) to buckets of shingles; frequent shingles are spread by document. Shingles that one
-   document alone has leave here, all others are written as postings (shingle, class, size,
-   position).
+2. Equal sets form classes, named by the first half of their key. A second pass sends each
+   set's prefix (one set per batch and key) to buckets of shingles; frequent shingles are
+   spread by class. Shingles that one class alone has leave here.
 3. Round one pairs each posting with one class of its shingle: as many pairs as postings,
-   however large a group of copies is. Pairs pass the length, positional and suffix filters
-   and are verified once, on whole sets.
+   however large a group of copies is. A bucket does so for its own shingles; those with two
+   classes are settled by that pair, all others are written as postings (shingle, class,
+   size, position). Pairs pass the length, positional and suffix filters, the last once more
+   with a cell per shingle, and are verified once, on whole sets.
 4. Round two does the same with more hashes for shingles whose classes are not all connected
    by then, so that a class at a large group's border meets several of its members.
 5. Round three pairs all classes of different components that share a shingle still open, so
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +44,16 @@ WIDTH = 5
 SHARE = 75            # per cent of the union that linked sets have in common
 CELLS = 256           # cells of the suffix filter's histogram
 ORDER_ROWS = 1 << 17  # shingles with a known frequency, the most frequent ones
-PIVOTS = 4            # hashes by which a shingle's common partner is chosen
+PIVOTS = 16           # hashes by which a shingle's common partner is chosen in round two
 BUCKET_ROWS = 1 << 20  # prefix postings a bucket is planned for
 
 BROADCAST_ROWS = 1 << 20  # counted ids up to which texts are picked without a shuffle
 
 _INFO = ("doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, cells binary, "
          "shingle bigint, times bigint")
-_POSTING = np.dtype([("shingle", "<i8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+_POSTING = np.dtype([("shingle", "<i8"), ("class", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+_SHARED = pa.schema([("shingle", pa.int64()), ("class", pa.int64()), ("n", pa.int32()),
+                     ("pos", pa.int32()), ("frequent", pa.bool_()), ("other", pa.int64())])
 
 
 def text_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -68,12 +72,27 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def _cells(s: np.ndarray) -> bytes | None:
-    """Set size in each cell of the hash space, or None for sets too large for one byte."""
-    count = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+def _cells(s: np.ndarray, cells: int = CELLS) -> bytes | None:
+    """Set size in each cell of the hash space, or None for sets too large for one byte.
+
+    ``cells`` is a power of two.
+    """
+    count = np.bincount((s >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells)
     return count.astype(np.uint8).tobytes() if count.max() < 256 else None
 
 
+def _room(x: bytes | None, y: bytes | None, n: int, m: int) -> int:
+    """Upper bound of the overlap of two sets of ``n`` and ``m`` with cells ``x`` and ``y``."""
+    if x is None or y is None:
+        return min(n, m)
+    one, two = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(one) > len(two):
+        one = one.reshape(len(two), -1).sum(axis=1)
+    elif len(two) > len(one):
+        two = two.reshape(len(one), -1).sum(axis=1)
+    return int(np.minimum(one, two).sum())
+
+
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()),
@@ -111,12 +130,13 @@ def _prefixes(width: int, share: int, order, buckets: int):
     """Buckets of prefix postings as binary columns, a row per batch and bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = order.value
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             seen, found = set(), []
             for doc, s in zip(batch.column("doc_id").to_pylist(),
                               text_sets(batch.column("text"), width)):
                 n = len(s)
-                if not n or doc is None or (key := (_key(s), n)) in seen:
+                if not n or doc is None or (key := _key(s)) in seen:
                     continue
                 seen.add(key)
                 keep = n + (-share * n // 100) + 1
@@ -125,7 +145,7 @@ def _prefixes(width: int, share: int, order, buckets: int):
                     weight = np.where(known[at] == s, times[at], 0)
                     s = s[np.lexsort((s, weight))] if weight.any() else s
                 post = np.empty(keep, _POSTING)
-                post["shingle"], post["doc"] = s[:keep].view(np.int64), doc
+                post["shingle"], post["class"] = s[:keep].view(np.int64), key[0]
                 post["n"], post["pos"] = n, np.arange(keep)
                 found.append(post)
             if not found:
@@ -133,13 +153,13 @@ def _prefixes(width: int, share: int, order, buckets: int):
             post = np.concatenate(found)
             spread = post["shingle"].view(np.uint64).copy()
             frequent = np.isin(spread, known)
-            spread[frequent] = W.mix(spread[frequent] ^ post["doc"][frequent].view(np.uint64))
+            spread[frequent] = W.mix(spread[frequent] ^ post["class"][frequent].view(np.uint64))
             bucket = (W.mix(spread) % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             post, bucket = post[by], bucket[by]
             edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             stop = np.append(edge[1:], len(bucket))
-            blobs = [b"".join(post[name][a:b].tobytes() for name in _POSTING.names)
+            blobs = [pack.compress(b"".join(post[name][a:b].tobytes() for name in _POSTING.names))
                      for a, b in zip(edge, stop)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(blobs, pa.binary())],
                                              names=["bucket", "postings"])
@@ -154,23 +174,69 @@ def _columns(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def _shared(order):
-    """Postings of shingles that several documents have, of a partition's buckets."""
+def _bucket(blobs: list[bytes], known: np.ndarray, share: int) -> Iterator[pa.RecordBatch]:
+    """Postings of a bucket that later rounds need, and its pairs of round one.
+
+    The pivot of a shingle is its smallest class. Frequent shingles are spread over buckets,
+    so their postings all stay and meet their pivots later.
+    """
+    unpack = zstandard.ZstdDecompressor()
+    read = [_columns(unpack.decompress(b)) for b in blobs]
+    post = {name: np.concatenate([b[name] for b in read]) for name in _POSTING.names}
+    del read
+    by = np.argsort(post["shingle"], kind="stable")
+    shingle = post["shingle"][by]
+    same = shingle[1:] == shingle[:-1]
+    often = np.isin(shingle.view(np.uint64), known)
+    by = by[np.concatenate((same, [False])) | np.concatenate(([False], same)) | often]
+    by = by[np.lexsort([post[name][by] for name in ("pos", "n", "class", "shingle")])]
+    post = {name: x[by] for name, x in post.items()}
+    new = np.ones(len(by), bool)
+    new[1:] = np.any([post[name][1:] != post[name][:-1] for name in ("shingle", "class", "n")], axis=0)
+    post = {name: x[new] for name, x in post.items()}
+    shingle = post["shingle"]
+    first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1]))[:len(shingle)])
+    count = np.diff(np.append(first, len(shingle)))
+    often = np.isin(shingle.view(np.uint64), known)
+    size, pivot = np.repeat(count, count), np.repeat(first, count)
+
+    at = np.flatnonzero(often | (size > 2))
+    for a in range(0, len(at), 1 << 16):
+        part = at[a:a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array(post[name][part]) for name in _POSTING.names], pa.array(often[part]),
+             pa.nulls(len(part), pa.int64())], schema=_SHARED)
+
+    row = np.flatnonzero(~often & (post["class"] != post["class"][pivot]))
+    pivot = pivot[row]
+    na, nb = post["n"][row].astype(np.int64), post["n"][pivot].astype(np.int64)
+    pa_, pb = post["pos"][row].astype(np.int64), post["pos"][pivot].astype(np.int64)
+    room = np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)
+    fits = ((100 * np.minimum(na, nb) >= share * np.maximum(na, nb))
+            & ((100 + share) * room >= share * (na + nb)))
+    pairs = np.unique(np.stack([post["class"][row[fits]], post["class"][pivot[fits]]], axis=1), axis=0)
+    for a in range(0, len(pairs), 1 << 16):
+        part = np.ascontiguousarray(pairs[a:a + (1 << 16)].T)
+        none = len(part[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(none, pa.int64()), pa.array(part[0]), pa.nulls(none, pa.int32()),
+             pa.nulls(none, pa.int32()), pa.nulls(none, pa.bool_()), pa.array(part[1])],
+            schema=_SHARED)
+
+
+def _shared(order, share: int):
+    """``_bucket`` of each bucket of a partition, whose rows come in order of the bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [_columns(b) for batch in batches for b in batch.column("postings").to_pylist()]
-        if not blobs:
-            return
-        post = {name: np.concatenate([b.pop(name) for b in blobs]) for name in _POSTING.names}
-        by = np.argsort(post["shingle"], kind="stable")
-        post = {name: x[by] for name, x in post.items()}
-        same = post["shingle"][1:] == post["shingle"][:-1]
-        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        keep |= np.isin(post["shingle"].view(np.uint64), order.value[0])
-        at = np.flatnonzero(keep)
-        for a in range(0, len(at), 1 << 16):
-            part = at[a:a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(post[name][part]) for name in _POSTING.names],
-                                             names=list(_POSTING.names))
+        known, now, blobs = order.value[0], None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("postings")):
+                if blobs and bucket != now:
+                    yield from _bucket(blobs, known, share)
+                    blobs = []
+                now = bucket
+                blobs.append(blob.as_py())
+        if blobs:
+            yield from _bucket(blobs, known, share)
     return run
 
 
@@ -178,14 +244,10 @@ def _suffix(share: int):
     """Drop pairs whose histograms leave too little room for the overlap they need."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            need = np.array([share * (x + y) for x, y in zip(batch.column("na").to_pylist(),
-                                                             batch.column("nb").to_pylist())])
-            room = np.array([(100 + share) * (min(n, m) if x is None or y is None else int(
-                np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum()))
-                for x, y, n, m in zip(*(batch.column(c).to_pylist()
-                                        for c in ("ca", "cb", "na", "nb")))])
-            keep = pa.array((room >= need) if len(need) else np.zeros(0, bool))
-            yield batch.select(["a", "b"]).filter(keep)
+            sizes = [batch.column(c).to_pylist() for c in ("na", "nb")]
+            keep = [(100 + share) * _room(x.as_py(), y.as_py(), n, m) >= share * (n + m)
+                    for x, y, n, m in zip(batch.column("ca"), batch.column("cb"), *sizes)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
@@ -215,9 +277,13 @@ class Join:
         named = self.rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
         self.classes = stage(named.groupBy("k1", "k2", "n_shingles").agg(
             F.min("doc_id").alias("rep"), F.first("cells").alias("cells")), "jaccard-classes")
+        self.named_classes = self.classes.select(F.col("k1").alias("class"), "rep")
         self.nodes = stage(named.join(self.classes, ["k1", "k2", "n_shingles"])
                            .select("doc_id", "rep").distinct(), "jaccard-nodes")
-        self.postings = self._postings()
+        shared = self._shared()
+        self.pairs = shared.filter("other IS NOT NULL").select(
+            F.col("class").alias("a"), F.col("other").alias("b"))
+        self.postings = shared.filter("other IS NULL").drop("other")
 
     def _order(self):
         """Frequent shingles and their counts: all above the count that ORDER_ROWS allows."""
@@ -235,29 +301,29 @@ class Join:
         by = np.argsort(known)
         return self.spark.sparkContext.broadcast((known[by], top["times"].to_numpy(np.int64)[by]))
 
-    def _postings(self) -> DataFrame:
+    def _shared(self) -> DataFrame:
+        """Written postings and, with ``other``, the pairs that the buckets found."""
         order = self._order()
         total = self.rows.agg(F.sum(F.col("n_shingles") * (100 - self.share) / 100 + 1)).first()[0]
         buckets = parts(total, BUCKET_ROWS, 4)
         packed = self.docs.mapInArrow(_prefixes(self.width, self.share, order, buckets),
                                       "bucket int, postings binary")
-        shared = (packed.repartition(buckets, "bucket")
-                  .mapInArrow(_shared(order), "shingle bigint, doc bigint, n int, pos int"))
-        shared = stage(shared, "jaccard-shared")
-        named = (shared.join(self.nodes, F.col("doc") == F.col("doc_id"))
-                 .groupBy("shingle", "rep", "n").agg(F.min("pos").alias("pos")))
-        return stage(named, "jaccard-postings")
+        return stage(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+            _shared(order, self.share), "shingle bigint, class bigint, n int, pos int, "
+            "frequent boolean, other bigint"), "jaccard-postings")
 
     def _passing(self, pairs: DataFrame) -> DataFrame:
-        """Distinct written pairs (a, b) of rows (a, b) after the suffix filter."""
+        """Distinct written pairs of rows (a, b) of the suffix-filtered pairs of classes."""
         pairs = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                  .filter("a <> b").distinct())
         for side in "ab":
-            cells = self.classes.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n{side}"),
-                                        F.col("cells").alias(f"c{side}"))
+            cells = self.classes.select(
+                F.col("k1").alias(side), F.col("rep").alias(f"r{side}"),
+                F.col("n_shingles").alias(f"n{side}"), F.col("cells").alias(f"c{side}"))
             pairs = pairs.join(cells, side)
-        kept = pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(
-            _suffix(self.share), "a bigint, b bigint")
+        kept = (pairs.filter("ra <> rb").select(
+            F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "na", "nb", "ca", "cb")
+            .mapInArrow(_suffix(self.share), "a bigint, b bigint"))
         return stage(kept.distinct(), "jaccard-pairs")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
@@ -266,44 +332,62 @@ class Join:
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [s.tobytes() for s in text_sets(batch.column("text"), width)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())],
-                                                 names=["rep", "items"])
-
-        due = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(),
-                    "jaccard-due")
-        due = F.broadcast(due) if due.count() <= BROADCAST_ROWS else due
-        items = stage(self.docs.join(due, "doc_id", "left_semi").select("doc_id", "text")
-                      .mapInArrow(sets, "rep bigint, items binary"), "jaccard-sets")
+                size, cells, out = [], [], []
+                for s in text_sets(batch.column("text"), width):
+                    size.append(len(s))
+                    cells.append(_cells(s, max(CELLS, 1 << len(s).bit_length())))
+                    out.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cells, pa.binary()),
+                     pa.array(out, pa.binary())], names=["rep", "n", "cells", "items"])
+
+        def due(pairs: DataFrame, name: str) -> DataFrame:
+            ids = stage(pairs.select(F.explode(F.array("a", "b")).alias(name)).distinct(), "jaccard-due")
+            return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+        items = stage(self.docs.join(due(pairs, "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+                      .mapInArrow(sets, "rep bigint, n bigint, cells binary, items binary"),
+                      "jaccard-sets")
+        fine = pairs
+        for side in "ba":
+            fine = fine.join(items.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"),
+                                          F.col("cells").alias(f"c{side}")), side)
+        pairs = stage(fine.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(
+            _suffix(self.share), "a bigint, b bigint").distinct(), "jaccard-fine")
+        items = items.join(due(pairs, "rep"), "rep", "left_semi")
         both = (pairs.join(items.select(F.col("rep").alias("b"), F.col("items").alias("sb")), "b")
                 .join(items.select(F.col("rep").alias("a"), F.col("items").alias("sa")), "a"))
         return stage(both.select("a", "b", "sa", "sb").mapInArrow(
             _verified(self.share), "a bigint, b bigint").distinct(), "jaccard-links")
 
     def _pivot_pairs(self, post: DataFrame, lots: int, seed: int) -> DataFrame:
-        """A pair for each posting, with the class of its shingle that comes first by a hash.
+        """A pair of classes for each posting, with the one of its shingle that is first by a hash.
 
         Shingles fall into ``lots`` lots with a hash each, so the members of a large group
         meet a few common classes. The length filter and the positional filter for any shared
         shingle hold for every pair; what is left out here is met in ``_open_pairs``.
         """
         s, lot = self.share, F.pmod("shingle", F.lit(lots)) + seed
-        own = F.struct(F.xxhash64("rep", lot).alias("h"), F.col("rep").alias("b"),
+        own = F.struct((F.xxhash64("class", lot) if lots > 1 else F.col("class")).alias("h"),
+                       F.col("class").alias("b"),
                        F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
         pivots = stage(post.groupBy("shingle").agg(
-            F.min(own).alias("pivot"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+            F.min(own).alias("pivot"), F.min("class").alias("low"), F.max("class").alias("high"))
             .filter("low < high").select("shingle", "pivot.b", "pivot.nb", "pivot.pb", "pivot.lb"),
             "jaccard-pivots")
-        rows = post.join(pivots, "shingle").withColumnsRenamed({"rep": "a", "n": "na", "pos": "pa"})
+        rows = post.join(pivots, "shingle").withColumnsRenamed({"class": "a", "n": "na", "pos": "pa"})
         room = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        return self._passing(rows.filter(
+        return (rows.filter(
             (F.col("label") != F.col("lb")) & (100 * F.least("na", "nb") >= s * F.greatest("na", "nb"))
-            & ((100 + s) * room >= s * (F.col("na") + F.col("nb")))))
+            & ((100 + s) * room >= s * (F.col("na") + F.col("nb")))).select("a", "b"))
 
     def _open(self, post: DataFrame, labels: DataFrame) -> DataFrame:
         """Labelled rows of ``post`` whose shingle's classes are not all in one component."""
-        post = (post.drop("label").join(labels, F.col("rep") == F.col("node"), "left")
-                .select("shingle", "rep", "n", "pos", F.coalesce("label", "rep").alias("label")))
+        known = stage(self.named_classes.join(labels, F.col("rep") == F.col("node"))
+                      .select("class", "label"), "jaccard-known")
+        known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+        post = (post.drop("label").join(known, "class", "left")
+                .select("shingle", "class", "n", "pos", F.coalesce("label", "class").alias("label")))
         post = stage(post, "jaccard-labelled")
         mixed = (post.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                  .filter("low < high").select("shingle"))
@@ -318,16 +402,16 @@ class Join:
         """
         s = self.share
         one = (post.filter((100 + s) * (F.col("n") - F.col("pos")) >= 2 * s * F.col("n"))
-               .select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"),
+               .select("shingle", F.col("class").alias("a"), F.col("n").alias("na"),
                        F.col("pos").alias("pa"), F.col("label").alias("la")))
-        two = post.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"),
+        two = post.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"),
                           F.col("pos").alias("pb"), F.col("label").alias("lb"))
         need = s * (F.col("na") + F.col("nb"))
         fits = ((F.col("la") != F.col("lb")) & (100 * F.col("na") >= s * F.col("nb"))
                 & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
                 & ((100 + s) * (F.col("na") - F.col("pa")) >= need)
                 & ((100 + s) * (F.col("nb") - F.col("pb")) >= need))
-        return self._passing(one.join(two, "shingle").filter(fits))
+        return one.join(two, "shingle").filter(fits).select("a", "b")
 
     def labels(self) -> DataFrame:
         """(node, label) of every class representative that is linked with another."""
@@ -335,14 +419,15 @@ class Join:
                    .filter("a < b").select("a", "b"))
         own = (self.nodes.join(repeats.select("b"), F.col("rep") == F.col("b"), "left_semi")
                .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-        seen = self._pivot_pairs(self.postings.withColumn("label", F.col("rep")), PIVOTS, 0)
+        often = self.postings.filter("frequent").withColumn("label", F.col("class"))
+        seen = self._passing(self.pairs.unionByName(self._pivot_pairs(often, 1, 0)))
         links = stage(self._links(seen).unionByName(repeats).unionByName(own).filter("a <> b")
                       .distinct(), "jaccard-edges")
         labels = stage(connected_components(links, "a", "b"), "jaccard-labels")
         post = self.postings
-        for find in (lambda post: self._pivot_pairs(post, 4 * PIVOTS, PIVOTS), self._open_pairs):
+        for find in (lambda post: self._pivot_pairs(post, PIVOTS, 1), self._open_pairs):
             post = self._open(post, labels)
-            more = stage(find(post).join(seen, ["a", "b"], "left_anti"), "jaccard-more")
+            more = stage(self._passing(find(post)).join(seen, ["a", "b"], "left_anti"), "jaccard-more")
             if more.isEmpty():
                 continue
             new = self._links(more)
