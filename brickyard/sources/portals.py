@@ -6,7 +6,8 @@ from brickyard.operators.extract import SourceMapping
 
 # Payload paths per canonical column and how reliably each field is filled.
 PORTAL_ONE = SourceMapping(
-    name="portal_one", script_marker="window.classified",
+    name="portal_one", markers=[("window.classified", "$"),
+                                ("__NEXT_DATA__", "$.props.pageProps.classified")],
     paths={
         "listing_id": ["$.id"],
         "street": ["$.property.location.street"],
@@ -54,7 +55,8 @@ PORTAL_ONE = SourceMapping(
     })
 
 PORTAL_TWO = SourceMapping(
-    name="portal_two", script_marker='"estate":',
+    name="portal_two", markers=[('"estate":', "$"), ("window.__ESTATE__", "$"),
+                                ('"@type":"Residence"', "$")],
     paths={
         "listing_id": ["$.id"],
         "street": ["$.geo.street", "$.location.street"],
