@@ -312,6 +312,45 @@ def test_bm25_prefers_shared_rare_terms():
     assert scores[1] > scores[2] > scores[3] == 0
 
 
+def test_packing_neighbours_are_exact_over_all_blocks(spark):
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(8)
+    words = [a + b for a in ("tree", "sea", "Zug", "moon", "rock") for b in ("", "s", "x", "ing", "berg", "en")]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice((3, 20, 90))))) for i in range(90)]
+    rows += [(90 + i, rows[0][1]) for i in range(5)]
+    docs = packing.tokenized(frame(spark, rows), path)
+    ids = {r.row: np.frombuffer(r.ids, "<u2") for r in docs.collect()}
+    seen = packing.document_counts(docs, np.dtype("<u2"), 1 << 16)
+    idf = np.log1p((len(rows) - seen + 0.5) / (seen + 0.5)).astype(np.float32)
+    mean = sum(map(len, ids.values())) / len(ids)
+    index = packing.build_index(docs, spark.sparkContext.broadcast(idf), mean, np.dtype("<u2"), 1 << 16, 2048,
+                                6, shard_docs=7)
+    heads = sorted(index.collect(), key=lambda r: r.block)
+    order = np.concatenate([np.frombuffer(r.rows, np.int64) for r in heads])
+    base = dict(zip([r.block for r in heads], np.cumsum([0] + [r.docs for r in heads])))
+    whole = packing.Shard([ids[r] for r in order], idf, mean)
+    whole.weight = np.rint(whole.weight * packing.STEPS)
+    n = len(order)
+    for r in packing.neighbours(index, base, n, 6).collect():
+        score = whole.scores(r.seed)
+        want = sorted((-score[d], (d - r.seed) % n, d) for d in range(n) if d != r.seed and score[d] > 0)[:6]
+        assert list(packing.places(np.array(r["keys"]), r.seed, n)) == [d for _, _, d in want]
+
+
+def test_packing_finds_neighbours_beyond_512_documents(spark):
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(6)
+    odd = ["Zug", "moon", "rock", "berg", "tree", "sea", "lamp", "door", "glass", "river", "stone", "cloud"]
+    rows = []
+    for i in range(600):  # two halves share a rare part; another, higher id sets them apart
+        own = "".join(rng.choice("bcdfghjklmnp") for _ in range(150))
+        rows += [(i, f"{rng.choice(odd)} {own}"), (1000 + i, f"{rng.choice(odd)}ly {own} zebra{i % 7}")]
+    got = packing.pack(frame(spark, rows, extra=False), path, length=128).collect()
+    where = {}
+    for r in got:
+        where.setdefault(r.doc_id, set()).add(r.sequence_id)
+    close = sum(bool(where[i] & where[1000 + i]) for i in range(600))
+    assert close >= 0.9 * 600, close
+
+
 ODD = ["a  b", "x　 y", " lead", "trail ", "a's it's 'S", "\n\n a", "tab\t b", "1 2  3", "é é", "à b",
        "Ω b", "", "a\x1c b", "a \x1cb", "日本 語 b", "don't  ' s", " ", "  ", "\U0001f600 b \U0001f600", "a  b"]
 
