@@ -1,11 +1,13 @@
 """Secret spans: fixed patterns, and a linear-chain conditional random field that adds more.
 
-Tokens are runs of eight or more key characters with a digit, or of ``LONG`` with both cases;
-all other text is outside by definition, so the chain falls into runs of adjacent tokens and
-Viterbi over each run decodes the whole text exactly. A token's features are its shape, the
-words and signs around it and what kind of file the text is. The field is trained by maximum
-likelihood on the pattern matches in ``FIT_DOCS`` documents by hash order of the id (a bound);
-half of the copies hide the neighbours, so that shape alone is learned as well.
+Tokens are all words and signs of a text, short and letter-only ones too, and a chain is a whole
+line; Viterbi decodes it exactly. A token's features are its shape, the two tokens before it,
+the one after it, what touches it and how near a word such as "password" is. The field is
+trained by maximum likelihood on pattern matches and other lines. Each match is also learned
+with hidden neighbours and with values of forms that no pattern has: short, with signs, of
+letters only, of several words. Key-like tokens that no pattern matches are unlabelled: their
+states are summed over. ``FIT_DOCS`` ids and ``FIT_CHAINS`` chains of either kind, by hash
+order, bound what is fitted on.
 
 Defined results: null or empty text has no spans. Field spans that touch a pattern span are
 left to the pattern. Rows that repeat an id are scanned one by one. Spans count code points.
@@ -14,6 +16,7 @@ left to the pattern. Rows that repeat an id are scanned one by one. Spans count
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,8 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.llm.common import stage
+
 FIT_DOCS = 20_000
-LONG = 24
+FIT_CHAINS = 3_000
+CHAIN = 24            # tokens of a chain to fit on
+FORGET = 200_000      # remembered scores of a task
 SPACE = 1 << 13       # hashed features
 STEPS = 150
 KINDS = ("assign", "access", "hex", "field")
@@ -35,9 +42,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_.-]{8,}={0,2}")
-_BEFORE = re.compile(r"([A-Za-z_]{2,})[^A-Za-z_]*\Z")
-_AFTER = re.compile(r"[^A-Za-z_]*([A-Za-z_]{2,})")
+TOKEN = re.compile(r"""\w(?:[\w+/.-]*\w)?(?:={1,2}(?![\w"'=]))?|\S""")
+LINE = re.compile(r"[^\n]+")
+CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "passphrase")
 
 Span = tuple[int, int, str]
 
@@ -61,18 +68,9 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def tokens(text: str) -> list[tuple[int, int]]:
-    """Spans of the tokens that may belong to a secret."""
-    out = []
-    for m in TOKEN.finditer(text):
-        t = m[0]
-        if t.isalpha():
-            if len(t) < LONG or t.islower() or t.isupper() or t[1:].islower():
-                continue
-        elif not any(c.isdigit() for c in t) and len(t) < LONG:
-            continue
-        out.append(m.span())
-    return out
+def tokens(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """Spans of all words and signs between ``start`` and ``end``."""
+    return [m.span() for m in TOKEN.finditer(text, start, len(text) if end is None else end)]
 
 
 def _shape(t: str) -> list[str]:
@@ -86,24 +84,29 @@ def _shape(t: str) -> list[str]:
     switches = min(9, len(runs) * 8 // min(n, 64))
     return [f"len{min(n, 64) // 4}", f"class{classes}", f"digits{digit * 6 // n}",
             f"hex{int(all(c in '0123456789abcdef' for c in t))}", f"switch{switches}",
-            f"kinds{len(set(t)) * 8 // min(n, 64)}", f"shape{runs[:8]}", f"head{t[:4]}",
+            f"kinds{len(set(t)) * 8 // min(n, 64)}", f"shape{runs[:8]}",
+            f"word{t.lower()[:16] if t.isalpha() or n == 1 else ''}",
             f"dots{min(4, t.count('.'))}{min(3, t.count('/'))}{min(3, t.count('-'))}"]
 
 
+def _around(words: list[str], spans: list[tuple[int, int]]) -> Iterator[tuple[str, str, str, str, str]]:
+    """Each token's features of place: two before, one after, what touches it, the nearest cue."""
+    last, n = -9, len(words)
+    for i, word in enumerate(words):
+        before, after = words[i - 1] if i else "", words[i + 1] if i + 1 < n else ""
+        glue = (2 * (i > 0 and spans[i - 1][1] == spans[i][0])
+                + (i + 1 < n and spans[i][1] == spans[i + 1][0]))
+        yield (f"prev{before[:16]}", f"prevb{words[i - 2][:16] if i > 1 else ''}", f"next{after[:16]}",
+               f"glue{glue}", f"cue{min(9, i - last)}")
+        if word.rstrip("=") in CUES:
+            last = i
+
+
 def features(text: str, spans: list[tuple[int, int]], hide: bool = False) -> list[list[str]]:
-    """Feature names of each token; every token has equally many."""
-    kind = [f"code{sum(c in text for c in '{};<>')}", f"many{min(5, len(spans)).bit_length()}",
-            f"quote{int(chr(34) in text)}"]
-    out = []
-    for start, end in spans:
-        before, after = text[max(0, start - 24):start], text[end:end + 24]
-        prev, nxt = _BEFORE.search(before), _AFTER.match(after)
-        sign = re.sub(r"[A-Za-z]", "a", before[-3:])
-        near = ["hidden"] * 4 if hide else [
-            f"prev{prev[1].lower() if prev else ''}", f"next{nxt[1].lower()[:8] if nxt else ''}",
-            f"sign{sign}", f"end{after[:1]}"]
-        out.append(["bias", *_shape(text[start:end]), *near, *kind])
-    return out
+    """Feature names of each token of a line; every token has equally many."""
+    words = [text[a:b].lower() for a, b in spans]
+    return [["bias", *_shape(text[a:b]), *(["hidden"] * 5 if hide else near)]
+            for (a, b), near in zip(spans, _around(words, spans))]
 
 
 def hashed(names: list[list[str]]) -> np.ndarray:
@@ -111,17 +114,6 @@ def hashed(names: list[list[str]]) -> np.ndarray:
                       % SPACE for f in row] for row in names], np.int32)
 
 
-def runs(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
-    """Indices of tokens with no other word or sign of a word between them."""
-    out: list[list[int]] = []
-    for i, (start, _) in enumerate(spans):
-        if i and not any(c.isalnum() for c in text[spans[i - 1][1]:start]):
-            out[-1].append(i)
-        else:
-            out.append([i])
-    return out
-
-
 @dataclass
 class Field:
     """Weights of the chain over the states outside (0), begin (1) and inside (2)."""
@@ -142,23 +134,87 @@ class Field:
             state.append(int(b[state[-1]]))
         return state[::-1]
 
-    def spans(self, text: str) -> list[Span]:
-        found = tokens(text)
-        if not found:
-            return []
-        x, out = hashed(features(text, found)), []
-        for run in runs(text, found):
-            for i, state in zip(run, self.decode(x[run])):
+    def spans(self, text: str, known: dict | None = None) -> list[Span]:
+        """Field spans of all lines; ``known`` remembers the scores of features between texts."""
+        known, out = {} if known is None else known, []
+        step = [[float(v) for v in row] for row in self.step]
+
+        def score(names: list[str]) -> tuple:
+            return tuple(float(v) for v in self.emit[hashed([names])[0]].sum(0))
+
+        def of(name: str) -> tuple:
+            got = known.get(name)
+            if got is None:
+                got = known[name] = score([name])
+            return got
+
+        for line in LINE.finditer(text):
+            found = tokens(text, *line.span())
+            raw = [text[x:y] for x, y in found]
+            best, back = None, []
+            for word, near in zip(raw, _around([w.lower() for w in raw], found)):
+                got = known.get((word,))
+                if got is None:
+                    if len(known) > FORGET:
+                        known.clear()
+                    got = known[(word,)] = score(["bias", *_shape(word)])
+                e0, e1, e2 = got
+                for name in near:
+                    g = of(name)
+                    e0, e1, e2 = e0 + g[0], e1 + g[1], e2 + g[2]
+                if best is None:
+                    best = (step[0][0] + e0, step[0][1] + e1, step[0][2] + e2)
+                    continue
+                b0, b1, b2 = best
+                way, new = [], []
+                for s, e in ((0, e0), (1, e1), (2, e2)):
+                    v0, v1, v2 = b0 + step[0][s], b1 + step[1][s], b2 + step[2][s]
+                    if v0 >= v1 and v0 >= v2:
+                        way.append(0), new.append(v0 + e)
+                    elif v1 >= v2:
+                        way.append(1), new.append(v1 + e)
+                    else:
+                        way.append(2), new.append(v2 + e)
+                back.append(way)
+                best = new
+            if best is None:
+                continue
+            state = best.index(max(best))
+            states = [state]
+            for way in reversed(back):
+                state = way[state]
+                states.append(state)
+            for (x, y), state in zip(found, reversed(states)):
                 if state == 1:
-                    out.append((*found[i], "field"))
+                    out.append((x, y, "field"))
                 elif state == 2:
-                    out[-1] = (out[-1][0], found[i][1], "field")
+                    out[-1] = (out[-1][0], y, "field")
         return out
 
 
+def _expected(score: np.ndarray, move: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """State probabilities of each step and expected transitions of chains of one length."""
+    n, length, _ = score.shape
+    fwd = [score[:, 0] + move[0]]
+    for i in range(1, length):
+        fwd.append(np.logaddexp.reduce(fwd[-1][:, :, None] + move, axis=1) + score[:, i])
+    bwd = [np.zeros((n, 3))]
+    for i in range(length - 1, 0, -1):
+        bwd.append(np.logaddexp.reduce(move + (bwd[-1] + score[:, i])[:, None, :], axis=2))
+    bwd = bwd[::-1]
+    norm = np.logaddexp.reduce(fwd[-1], axis=1)[:, None]
+    state = [np.exp(f + b - norm) for f, b in zip(fwd, bwd)]
+    pair = np.zeros((3, 3))
+    pair[0] += state[0].sum(0)
+    for i in range(1, length):
+        pair += np.exp(fwd[i - 1][:, :, None] + move + (score[:, i] + bwd[i])[:, None, :]
+                       - norm[:, :, None]).sum(0)
+    return state, pair
+
+
 def train(examples: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, ridge: float = 1e-3
           ) -> Field | None:
-    """Maximum likelihood by Adam; (features, states) per run, runs of one length in one pass."""
+    """Maximum likelihood by Adam; (features, states) per chain, state -1 is unlabelled."""
     if not examples or not any((y > 0).any() for _, y in examples):
         return None
     groups: dict[int, list] = {}
@@ -173,29 +229,15 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, rid
     for t in range(1, steps + 1):
         g_emit, g_step = -ridge * emit, -ridge * step
         for x, y in data:
-            n, length = y.shape
             score, move = emit[x].sum(2), step + ban
-            fwd = [score[:, 0] + move[0]]
-            for i in range(1, length):
-                fwd.append(np.logaddexp.reduce(fwd[-1][:, :, None] + move, axis=1) + score[:, i])
-            bwd = [np.zeros((n, 3))]
-            for i in range(length - 1, 0, -1):
-                bwd.append(np.logaddexp.reduce(move + (bwd[-1] + score[:, i])[:, None, :], axis=2))
-            bwd = bwd[::-1]
-            norm = np.logaddexp.reduce(fwd[-1], axis=1)[:, None]
-            for i in range(length):
-                gap = np.eye(3)[y[:, i]] - np.exp(fwd[i] + bwd[i] - norm)
+            shut = np.where((y[:, :, None] >= 0) & (y[:, :, None] != np.arange(3)), -1e4, 0.0)
+            (true, seen), (got, pair) = _expected(score + shut, move), _expected(score, move)
+            g_step += (seen - pair) / total
+            for i in range(y.shape[1]):
+                gap = true[i] - got[i]
                 for s in range(3):
                     g_emit[:, s] += np.bincount(x[:, i].ravel(), np.repeat(gap[:, s], x.shape[2]),
                                                 SPACE) / total
-                if i:
-                    pair = np.exp(fwd[i - 1][:, :, None] + move + (score[:, i] + bwd[i])[:, None, :]
-                                  - norm[:, :, None])
-                    seen = np.zeros((3, 3))
-                    np.add.at(seen, (y[:, i - 1], y[:, i]), 1)
-                    g_step += (seen - pair.sum(0)) / total
-                else:
-                    g_step[0] += gap.sum(0) / total
         for w, g, a, b in ((emit, g_emit, *moments[:2]), (step, g_step, *moments[2:])):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
@@ -203,62 +245,119 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, rid
     return Field(emit.astype(np.float32), step + ban)
 
 
-def states(spans: list[tuple[int, int]], truth: list[Span]) -> np.ndarray:
-    """Begin, inside or outside for each token by the spans it lies in."""
+def values(text: str) -> list[tuple[int, int]]:
+    """Spans of the secret values in pattern matches, without the words that announce them."""
+    out = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    out += [m.span() for m in HEX.finditer(text)]
+    return sorted(set(out))
+
+
+def states(text: str, spans: list[tuple[int, int]], truth: list[tuple[int, int]]) -> np.ndarray:
+    """Begin, inside or outside for each token by the spans it lies in, -1 for key-like others."""
     y, last = np.zeros(len(spans), np.int32), None
     for i, (start, end) in enumerate(spans):
         hit = next((t for t in truth if t[0] < end and start < t[1]), None)
-        y[i] = 0 if hit is None else 2 if hit == last else 1
+        if hit is not None:
+            y[i] = 2 if hit == last else 1
+        elif end - start >= 8 and any(c.isalpha() for c in text[start:end]):
+            t = text[start:end]
+            y[i] = -1 if any(c.isdigit() for c in t) or not (t.islower() or t.isupper() or t[1:].islower()) else 0
         last = hit
     return y
 
 
+def segments(text: str) -> Iterator[tuple[bool, str]]:
+    """Stretches of lines of about ``CHAIN`` tokens, and whether they hold a pattern match."""
+    hits = values(text)
+    for line in LINE.finditer(text):
+        found = tokens(text, *line.span())
+        for i in range(0, len(found), CHAIN):
+            x, y = found[i][0], found[min(i + CHAIN, len(found)) - 1][1]
+            yield any(a < y and x < b for a, b in hits), text[x:y]
+
+
+def forms(rng: random.Random, words: list[str]) -> list[tuple[str, str]]:
+    """(text, value) examples of secrets without a fixed pattern; an empty value is none."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = "".join(rng.choice(letters) for _ in range(rng.randrange(5, 8)))
+    word, head = rng.choice(words + [made]), f"{rng.choice(words)} {rng.choice(words)} "
+    signed = ("".join({"a": "@", "s": "$", "o": "0", "e": "3", "i": "1"}.get(c, c) if rng.random() < 0.8 else c
+                      for c in word[:9]).capitalize() + rng.choice("!#$%&*") * rng.randrange(2)
+              + rng.choice(("", "7", "42", "!")))
+    if signed.isalpha():
+        signed += "!"
+    short = "".join(rng.choice(letters + "0123456789") for _ in range(rng.randrange(3, 7))) + rng.choice("0123456789")
+    mixed = "".join(rng.choice(letters + letters.upper()) for _ in range(rng.randrange(9, 23))) + "qZ"
+    phrase = " ".join(rng.choice(words) for _ in range(rng.randrange(3, 6)))
+    cue, tail = rng.choice(CUES), rng.choice((";", "", " ;", "\"", ","))
+    quote = "\"" if tail == "\"" else ""
+    out = [(f"{head}{cue}{rng.choice((' is ', ': ', '=', ' = ', ' '))}{quote}{v}{tail}", v)
+           for v in (signed, short, mixed)]
+    return [*out, (f"{head}{cue}{rng.choice((': ', '=', ' = '))}{quote}{phrase}{tail}", phrase),
+            (f"{head}{cue} {rng.choice(('is', 'was', 'and', 'of', 'for'))} {rng.choice(words)} {phrase}", "")]
+
+
+def examples(chains: list[tuple[bool, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, states) of the picked chains and of the forms made for each match."""
+    out = []
+
+    def add(text: str, truth: list[tuple[int, int]], hide: bool) -> None:
+        found = tokens(text)
+        y, x = states(text, found, truth), hashed(features(text, found, hide))
+        for i in range(0, len(found), 2 * CHAIN):
+            own = y[i:i + 2 * CHAIN].copy()
+            own[0] = min(own[0], 1)
+            out.append((x[i:i + 2 * CHAIN], own))
+
+    words = sorted({w.lower() for _, t in chains for w in re.findall(r"[^\W\d_]{3,}", t)} - set(CUES)) or ["word"]
+    for positive, text in chains:
+        add(text, values(text), False)
+        if positive:
+            add(text, values(text), True)
+            rng = random.Random(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little"))
+            for n, (made, value) in enumerate(forms(rng, words)):
+                at = made.rindex(value) if value else 0
+                add(made, [(at, at + len(value))] if value else [], False)
+                if n == 2:  # letters of both cases: also by shape alone
+                    add(made, [(at, at + len(value))], True)
+    return out
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        fit_docs: int = FIT_DOCS) -> Field | None:
+        fit_docs: int = FIT_DOCS, fit_chains: int = FIT_CHAINS) -> Field | None:
     """The field from pattern matches; None where the sample has none."""
     order = F.xxhash64("_id")
     own = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     picked = own.select("_id").distinct().orderBy(order, "_id").limit(fit_docs)
 
-    def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["_id"], batch["_text"]):
-                found = tokens(text)
-                if not found:
-                    continue
-                y = states(found, base_spans(text))
-                for hide in (False, True):
-                    x = hashed(features(text, found, hide))
-                    for run in runs(text, found):
-                        own_y = y[run].copy()
-                        own_y[0] = min(own_y[0], 1)
-                        rows.append((doc, x[run].tobytes(), own_y.astype(np.int32).tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "x", "y"])
-
-    kind = own.schema["_id"].dataType.simpleString()
-    got = (own.join(F.broadcast(picked), "_id")
-           .mapInPandas(examples, f"id {kind}, x binary, y binary").toPandas()
-           .sort_values(["id", "x", "y"]))
-    out = []
-    for x, y in zip(got["x"], got["y"]):
-        y = np.frombuffer(y, np.int32)
-        out.append((np.frombuffer(x, np.int32).reshape(len(y), -1), y))
-    return train(out)
+            yield pd.DataFrame([r for text in batch["_text"] for r in segments(text)],
+                               columns=["positive", "chain"])
+
+    found = stage(own.join(F.broadcast(picked), "_id").select("_text")
+                  .mapInPandas(run, "positive boolean, chain string").distinct(), "secret-chains")
+    chains = []
+    for positive in (True, False):
+        chains += [(positive, r.chain) for r in found.filter(F.col("positive") == positive)
+                   .orderBy(F.xxhash64("chain"), "chain").limit(fit_chains).collect()]
+    return train(examples(chains)) if any(p for p, _ in chains) else None
 
 
 def scan(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text"
          ) -> DataFrame:
     """One row per document: counts by kind, base_sha256 and all spans."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 text = text or ""
                 base = base_spans(text)
                 more = [] if field is None else [
-                    s for s in field.spans(text)
+                    s for s in field.spans(text, known)
                     if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
                 count = [sum(s[2] == k for s in base) for k in KINDS[:3]]
                 rows.append((*count, hashlib.sha256(written(base).encode()).hexdigest(),

@@ -475,6 +475,27 @@ def test_secret_field_adds_spans(spark):
     assert got[2].spans == "" and got[3].spans == "assign:0:20"
 
 
+LOST = [("the maple login password is P@ssw0rd! for now", "P@ssw0rd!"), ("Server=stone;Pwd=S3cr3t!;river", "S3cr3t!"),
+        ("river cloud secret is k3y9z and stone", "k3y9z"), ("stone token hXbQzrTWkmPaeL river", "hXbQzrTWkmPaeL"),
+        ("stone passphrase: maple cloud seven river;", "maple cloud seven river")]
+
+
+def test_secret_field_finds_lost_forms(spark):
+    rng = random.Random(12)
+    clean = ["sun", "river", "stone", "cloud", "maple", "under", "walking", "seven", "the", "for", "now", "login"]
+    rows = []
+    for i in range(200):
+        w = " ".join(rng.choice(clean) for _ in range(20))
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((18, 32, 40))))
+        rows.append((i, f"{w}\n{rng.choice(clean)} token = \"{key}\" {rng.choice(clean)}" if i % 2 else w))
+    field = secrets.fit(frame(spark, rows), fit_chains=300)
+    new = [(i, t) for i, (t, _) in enumerate(LOST)] + [(50, "river maple stone cloud under seven walking sun")]
+    got = {r.doc_id: r.spans for r in secrets.scan(frame(spark, new), field).collect()}
+    for i, (t, value) in enumerate(LOST):
+        assert got[i] == f"field:{t.index(value)}:{t.index(value) + len(value)}", (t, got[i])
+    assert got[50] == ""
+
+
 def test_viterbi_equals_every_path():
     import itertools
 
