@@ -134,7 +134,7 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, span: int) -> DataFr
     terms = _ranked(phrases, index)
     first = (posts.join(terms.filter("rank = 1").select("wid", "len", "word"), "word")
              .select(*KEY, "wid", F.col("pos").alias("at")).distinct())
-    want = terms.groupBy("wid").agg(F.count_distinct("word").alias("need"))
+    want = phrases.select("wid", F.size(F.array_distinct("words")).alias("need"))  # absent words too
     cell = F.floor(F.col("at") / span)
     near = (first.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
             .join(terms.select("wid", "word").distinct(), "wid"))

@@ -225,6 +225,14 @@ def test_proximity(spark):
     assert phrases.proximity_matches(index, names, 8).count() == 2
 
 
+def test_proximity_needs_every_word(spark):
+    docs = frame(spark, [(1, "rare x near")], extra=False)
+    names, _ = phrases.windows(spark.createDataFrame([(1, "rare absent near")], "item_id bigint, text string"),
+                               "item_id", "text")
+    index = phrases.build_index(docs, names.selectExpr("explode(words) AS word"))
+    assert phrases.proximity_matches(index, names, 5).count() == 0
+
+
 # Archives
 
 PAGES = [(1, "http://a/", "x"), (2, "http://b/\r\nX: y", "x"), (3, None, "é\r\n\r\nWARC/1.1\r\n\r\n"),
