@@ -233,11 +233,10 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, rid
             shut = np.where((y[:, :, None] >= 0) & (y[:, :, None] != np.arange(3)), -1e4, 0.0)
             (true, seen), (got, pair) = _expected(score + shut, move), _expected(score, move)
             g_step += (seen - pair) / total
-            for i in range(y.shape[1]):
-                gap = true[i] - got[i]
-                for s in range(3):
-                    g_emit[:, s] += np.bincount(x[:, i].ravel(), np.repeat(gap[:, s], x.shape[2]),
-                                                SPACE) / total
+            gap = (np.stack(true, 1) - np.stack(got, 1)).reshape(-1, 3) / total
+            flat = x.ravel()
+            for s in range(3):
+                g_emit[:, s] += np.bincount(flat, np.repeat(gap[:, s], x.shape[2]), SPACE)
         for w, g, a, b in ((emit, g_emit, *moments[:2]), (step, g_step, *moments[2:])):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
