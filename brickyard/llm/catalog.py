@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from brickyard.llm import (exact, jaccard, packing, phrases, pseudonyms, quality, secrets, toxicity,
-                           unigram, warc)
+                           tries, unigram, warc)
 from brickyard.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,12 +54,23 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op11_conversation_trie(spark, sf_dir):
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_field, op2_toxicity_grades, op3_exact_dedup, op4_jaccard_join, op5_unigram_counts,
-    op6_pseudonyms, op7_decontamination, op8_warc_revisits, op9_quality, op10_packing)}
+    op6_pseudonyms, op7_decontamination, op8_warc_revisits, op9_quality, op10_packing,
+    op11_conversation_trie)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# CRC-32 of a string of ASCII characters, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(1, length({s}) + 1), lambda p: ascii(substr({s}, p, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+    lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
 SQL = {
     "op3_exact_dedup": r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c,
@@ -117,5 +128,29 @@ r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS best FROM q)
 SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
   CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> best THEN best END AS refers_to FROM r
+""",
+    "op11_conversation_trie": rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {_CRC.format(s="conv_id::VARCHAR")} % 4 AS h FROM t),
+u AS (SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= h
+  UNION ALL SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h),
+a AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY pos) FILTER (WHERE pos IS NOT NULL) AS s
+  FROM (FROM u UNION ALL SELECT conv_id, NULL, NULL, NULL FROM c) GROUP BY 1),
+m AS (SELECT conv_id, d::BIGINT AS depth, coalesce(s, [])[1:d] AS p, d = len(coalesce(s, [])) AS over
+  FROM a, LATERAL (SELECT unnest(range(0, len(coalesce(s, [])) + 1)) AS d) x),
+n AS (SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE over), '') AS ends,
+    CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1)
+      * len(regexp_extract_all(p[depth].t, '[^\x20\x09-\x0D]+')) END AS own FROM m GROUP BY p, depth),
+k AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k ON k.p = n.p),
+s AS (SELECT p[1:d] AS p, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM f, LATERAL (SELECT unnest(range(0, depth + 1)) AS d) x GROUP BY 1)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children::BIGINT AS n_children,
+  s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s ON s.p = f.p LEFT JOIN n q ON f.depth > 0 AND q.p = f.p[1:f.depth - 1]
 """,
 }
