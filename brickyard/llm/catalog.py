@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from brickyard.llm import (exact, jaccard, packing, phrases, pseudonyms, quality, secrets, toxicity,
-                           tries, unigram, warc)
+                           tries, unigram, variants, warc)
 from brickyard.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,16 +58,20 @@ def op11_conversation_trie(spark, sf_dir):
     return tries.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_field, op2_toxicity_grades, op3_exact_dedup, op4_jaccard_join, op5_unigram_counts,
     op6_pseudonyms, op7_decontamination, op8_warc_revisits, op9_quality, op10_packing,
-    op11_conversation_trie)}
+    op11_conversation_trie, op13_spelling_variants)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-# CRC-32 of a string of ASCII characters, bit by bit.
-_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT],
-    list_transform(range(1, length({s}) + 1), lambda p: ascii(substr({s}, p, 1))::BIGINT)),
+# CRC-32 of a string's UTF-8 bytes, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, octet_length(encode({s})) + 1),
+    lambda p: ('0x' || substr(hex(encode({s})), 2 * p - 1, 2))::BIGINT)),
   lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
     lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
 
@@ -152,5 +156,27 @@ s AS (SELECT p[1:d] AS p, sum(own) AS saved, count(*) FILTER (WHERE n_children =
 SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children::BIGINT AS n_children,
   s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
 FROM f JOIN s ON s.p = f.p LEFT JOIN n q ON f.depth > 0 AND q.p = f.p[1:f.depth - 1]
+""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE o AS (SELECT doc_id, r, length(r) AS k, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOW}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents)
+  WHERE length(r) >= 5 GROUP BY 1, 2),
+h AS (SELECT *, {_CRC.format(s="(doc_id::VARCHAR || ':' || r)")} AS h FROM o),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, (h % k)::INT) || substr(r, (h % k)::INT + 2) ELSE r END AS word, n
+  FROM h),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+c AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM c),
+p AS (SELECT x.word, y.word AS near, y.n FROM d x JOIN d y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.a || d.b
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.a || d.b),
+b AS (SELECT word, count(*) AS n_near, max(n) AS top FROM p GROUP BY 1),
+e AS (SELECT p.word, min(p.near) AS best FROM p JOIN b ON b.word = p.word AND b.top = p.n GROUP BY 1),
+g AS (SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * w.n THEN best END AS form,
+    CASE WHEN top >= 2 * w.n THEN top END AS form_n FROM w LEFT JOIN b ON b.word = w.word LEFT JOIN e ON e.word = w.word),
+r AS (SELECT word, word AS root, 0 AS step FROM g
+  UNION ALL SELECT r.word, g.form, step + 1 FROM r JOIN g ON g.word = r.root WHERE g.form IS NOT NULL),
+l AS (SELECT word, max_by(root, step) AS root FROM r GROUP BY 1)
+SELECT g.word, g.form, l.root, g.n, g.n_near, g.form_n FROM g JOIN l ON l.word = g.word
 """,
 }
