@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from brickyard.llm import (exact, jaccard, packing, phrases, pseudonyms, quality, secrets, toxicity,
-                           tries, unigram, variants, warc)
+                           tries, unigram, variants, vectors, warc)
 from brickyard.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,10 @@ def op11_conversation_trie(spark, sf_dir):
     return tries.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_near_vectors(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark, sf_dir):
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op13_spelling_variants(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_secret_field, op2_toxicity_grades, op3_exact_dedup, op4_jaccard_join, op5_unigram_counts,
     op6_pseudonyms, op7_decontamination, op8_warc_revisits, op9_quality, op10_packing,
-    op11_conversation_trie, op13_spelling_variants)}
+    op11_conversation_trie, op12_near_vectors, op13_spelling_variants)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -156,6 +160,17 @@ s AS (SELECT p[1:d] AS p, sum(own) AS saved, count(*) FILTER (WHERE n_children =
 SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children::BIGINT AS n_children,
   s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
 FROM f JOIN s ON s.p = f.p LEFT JOIN n q ON f.depth > 0 AND q.p = f.p[1:f.depth - 1]
+""",
+    "op12_near_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id
+  AND list_inner_product(a.v, b.v) >= 0.9 * sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT r.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(c) AS component_id, r.vec_id = min(c) AS kept
+FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id
 """,
     "op13_spelling_variants": rf"""
 WITH RECURSIVE o AS (SELECT doc_id, r, length(r) AS k, count(*) AS n FROM (
