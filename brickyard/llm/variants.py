@@ -273,6 +273,8 @@ def near_words(indexed: list[bytes], asking: list[bytes], front: bool
     ``front``: pairs that agree in the first half of the asking word. Else those that agree in
     its second half, but for the pairs that agree in the first one too.
     """
+    if not indexed or not asking:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = sorted(range(len(indexed)), key=(lambda i: indexed[i][::-1]) if front else indexed.__getitem__)
     index = Direction([indexed[i][::-1] if front else indexed[i] for i in order])
     number = np.array(order, np.int64)
@@ -293,7 +295,7 @@ def near_words(indexed: list[bytes], asking: list[bytes], front: bool
                           half, 1) == half
             q, word = q[~same], word[~same]
         out.append((q + a, number[word]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (number[:0], number[:0])
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _shard(table: pa.Table) -> pa.Table:

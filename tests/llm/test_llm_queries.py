@@ -18,7 +18,7 @@ def test_against_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_rows(spark, name):
     rows = queries()[name](spark, SF)
-    documents = duckdb.sql(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchone()[0]
+    documents = duckdb.sql(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchall()[0][0]
     assert rows.select("doc_id").distinct().count() == documents
 
 
