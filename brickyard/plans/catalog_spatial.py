@@ -301,12 +301,9 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDE
 SELECT request_id, n_within, widened, count(*) AS n_pool, round(max(d), 3) AS farthest_m FROM b
 GROUP BY 1, 2, 3""")
 def comparables_pool(spark: SparkSession, sf: str) -> DataFrame:
-    req = cut(municipality_requests(spark, sf))
     pool = cut(comps.candidates(listings(spark, sf)))
-    sizes = comps.pool_size_per_request(req, pool, k=5)
-    got = (comps.request_pool(req, pool, k=5).groupBy("request_id")
-           .agg(F.count("*").alias("n_pool"), F.round(F.max("distance_m"), 3).alias("farthest_m")))
-    return sizes.join(got, "request_id")
+    return comps.pool_summary(municipality_requests(spark, sf), pool, k=5).withColumn(
+        "farthest_m", F.round("farthest_m", 3))
 
 
 @query("comparables_topk", _SCORED + """

@@ -6,6 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from brickyard.operators import best
 from brickyard.operators.knn import nearest
 from brickyard.operators.quantiles import group_quantiles, value_ranks, with_percentile
 from brickyard.operators.radius import within_radius
@@ -104,3 +105,74 @@ def test_comparables_widen_and_narrow(spark):
     out = comps.top_comparables(req, df).collect()
     assert len(out) == 10 and all(int(r.listing_id) % 2 == 0 for r in out)
     assert {r.listing_id for r in out if r.request_id == "far"} <= {f"{i:03d}" for i in range(20, 60)}
+
+
+def _requests_and_listings(seed, n=300):
+    rng = random.Random(seed)
+    listings = [(i, m, a, b, rng.choice([None, 80.0, 100.0, 140.0]), rng.choice([None, 1.0, 3.0]),
+                 rng.choice(["house", "flat", None]), rng.choice(["a", "b"]), float(rng.randrange(50, 60)))
+                for i, m, a, b in skewed_points(n, seed)]
+    requests = [(f"q{i}", "sale" if i % 9 else "rent", *(rng.choice(listings)[2:4] if i % 4 else (53.5, 4.0 + i * 0.01)),
+                 rng.choice([None, 0.0, 90.0]), rng.choice([None, 2.0]), rng.choice(["house", "flat", "barn", None]),
+                 rng.choice(["a", None]), rng.choice([None, 0.0, 55.0])) for i in range(40)]
+    return requests, listings
+
+
+def _median(values):
+    v = sorted(x for x in values if x is not None)
+    return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 if v else None
+
+
+def _comparables(request, listings, k=5, radius_km=25.0):
+    rid, market, lat, lon, surface, beds, kind, category, prediction = request
+    pool = sorted((metres((lat, lon), x[2:4]), x[0], x) for x in listings if x[1] == market)
+    near = [x for x in pool if x[0] <= radius_km * 1000]
+    pool = near if len(near) >= 4 * k else pool[:max(8 * k, 40)]
+    fit = [x for x in pool if (x[2][6] == kind if kind else category is not None and x[2][7] == category)]
+    pool = fit if len(fit) >= k else pool
+    surface = surface or _median([x[2][4] for x in pool]) or 100.0
+    beds = beds or _median([x[2][5] for x in pool]) or 2.0
+    scored = []
+    for d, lid, x in pool:
+        own = 0.9 * d / 25_000 + abs((surface if x[4] is None else x[4]) - surface) / max(surface, 1)
+        own += 0.5 * abs((beds if x[5] is None else x[5]) - beds) / 3
+        own += 1.2 * abs(x[8] - prediction) / max(prediction, 1) if prediction else 0
+        scored.append((round(own, 9), lid))
+    return [(rid, n + 1, lid, s) for n, (s, lid) in enumerate(sorted(scored)[:k])]
+
+
+def test_comparables_equal_brute_force_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(best, "POINTS_PER_PART", 16)
+    monkeypatch.setattr(best, "QUERIES_PER_PART", 4)
+    monkeypatch.setattr(best, "PAIRS", 64)
+    requests, rows = _requests_and_listings(11)
+    listings = spark.createDataFrame(rows, "listing_id string, market string, latitude double, longitude double,"
+                                     " livable_surface double, bedrooms double, property_type string,"
+                                     " category string, price double").withColumn("url", F.lit(None).cast("string"))
+    asked = spark.createDataFrame(requests, "request_id string, market string, latitude double, longitude double,"
+                                  " livable_surface double, bedrooms double, property_type string, category string,"
+                                  " prediction double")
+    got = sorted((r.request_id, r.rank, r.listing_id, round(r.score, 9))
+                 for r in comps.top_comparables(asked, listings).collect())
+    assert got == sorted(x for q in requests for x in _comparables(q, rows))
+    pool = comps.pool_summary(asked, listings, 5).collect()
+    assert {r.request_id for r in pool} == {q[0] for q in requests if q[1] == "sale"}
+    pairs = comps.request_pool(asked, listings, 5).groupBy("request_id").count().collect()
+    assert {r.request_id: r.n_pool for r in pool} == {r.request_id: r["count"] for r in pairs}
+
+
+def test_pairs_of_a_radius_are_not_shuffled(spark):
+    """Ten times the listings inside make no more rows after the pass than parts and lists hold."""
+    sizes = []
+    for n in (500, 5000):
+        points = spark.range(n).selectExpr("cast(id as string) listing_id", "'sale' market", "50.0 + id * 1e-5 latitude",
+                                           "4.0 longitude", "100.0 price")
+        asked = spark.range(3).selectExpr("id", "'sale' market", "50.0 latitude", "4.0 longitude", "90.0 q_price")
+        found, _ = best.best_within(
+            asked, points, 25_000.0, 5, lambda q, p, km: np.abs(p["price"] - q["q_price"]) + km,
+            lambda q, p, km: km < 0, query_id="id", point_id="listing_id", numbers=["price"])
+        rows = found.collect()
+        assert [(r.n, r.n_fit, [x.id for x in r.best], r.best_fit) for r in rows] == [
+            (n, 0, ["0", "1", "2", "3", "4"], [])] * 3
+        sizes.append(sum(len(r.best) for r in rows))
+    assert sizes[0] == sizes[1]
