@@ -15,11 +15,13 @@ five-word shingles as 64-bit hashes. Two documents link at 100 * shared >= 75 *
    classes are settled by that pair, all others are written as postings (shingle, class,
    size, position). Pairs pass the length, positional and suffix filters, the last once more
    with a cell per shingle, and are verified once, on whole sets.
-4. Round two does the same with more hashes for shingles whose classes are not all connected
-   by then, so that a class at a large group's border meets several of its members.
-5. Round three pairs all classes of different components that share a shingle still open, so
-   every link that could join components is verified. Its smaller sides come from the
-   shorter index prefix.
+4. Shingles whose classes are not all connected by then stay open. While the number of open
+   components falls by a tenth, classes outside the commonest component of an open shingle
+   try the few members of it that leave the most room, and what links is merged and dropped.
+5. The last round meets all classes of different components that share a shingle still open,
+   block by block, so every link that could join components is verified. All filters run
+   where the blocks meet; only pairs that pass them become rows. Its smaller sides come from
+   the shorter index prefix.
 
 Defined results: null, empty or wordless text has an empty set and links with nothing; fewer
 than five words are one shingle. A row without doc_id links with nothing and has a null
@@ -44,7 +46,9 @@ WIDTH = 5
 SHARE = 75            # per cent of the union that linked sets have in common
 CELLS = 256           # cells of the suffix filter's histogram
 ORDER_ROWS = 1 << 17  # shingles with a known frequency, the most frequent ones
-PIVOTS = 16           # hashes by which a shingle's common partner is chosen in round two
+TRIES = 4             # members of a shingle's commonest component that another class tries at once
+BLOCK_ROWS = 1 << 11  # classes of a shingle that one task holds against as many
+PAIRS = 1 << 20       # pairs looked at in one step
 BUCKET_ROWS = 1 << 20  # prefix postings a bucket is planned for
 
 BROADCAST_ROWS = 1 << 20  # counted ids up to which texts are picked without a shuffle
@@ -264,6 +268,77 @@ def _verified(share: int):
     return run
 
 
+def _met(share: int, tries: int):
+    """Pairs of the classes of each (shingle, x, y), whose rows come together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("shingle", "x", "y")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if held and tuple(keys[a]) != now:
+                    yield from _pairs_of(pa.Table.from_batches(held), share, tries)
+                    held = []
+                now = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from _pairs_of(pa.Table.from_batches(held), share, tries)
+    return run
+
+
+def _pairs_of(rows: pa.Table, share: int, tries: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that pass the length, positional and suffix filters; see ``_open_pairs``.
+
+    At the first shingle two sets share, the overlap is at most what either has from there on,
+    and later shared shingles only leave less; so each row is held to that bound. The smaller
+    set can meet it in its index prefix alone, which is shorter.
+    """
+    size, pos, label, name, rep, own = (
+        rows.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "label", "class", "rep", "own"))
+    if len(size) < 2 or (label == label[0]).all():
+        return
+    s, two = share, bool(own.min() != own.max())
+    flat = [c if c is not None else b"" for c in rows.column("cells").to_pylist()]
+    known = np.array([len(c) > 0 for c in flat])
+    cells = np.frombuffer(b"".join(c or bytes(CELLS) for c in flat), np.uint8).reshape(len(flat), CELLS)
+    names, kind, times = np.unique(label, return_inverse=True, return_counts=True)
+    host = kind == times.argmax()
+    small = np.flatnonzero((100 + s) * (size - pos) >= 2 * s * size)
+    step = max(1, PAIRS // len(size))
+    found = []
+    for a in range(0, len(small), step):
+        i = small[a:a + step, None]
+        need = s * (size[i] + size)
+        fits = (kind[i] != kind) & (100 * size[i] >= s * size) & (
+            (size[i] < size) | ((size[i] == size) & (name[i] < name))) & (
+            (100 + s) * (size[i] - pos[i]) >= need) & ((100 + s) * (size - pos) >= need)
+        if two:
+            fits &= own[i] != own
+        if tries:
+            fits &= host[i] != host
+        at, j = np.nonzero(fits)
+        i = small[a + at]
+        for k in range(0, len(i), 1 << 13):
+            x, y = i[k:k + (1 << 13)], j[k:k + (1 << 13)]
+            room = np.minimum(cells[x], cells[y]).sum(axis=1, dtype=np.int64)
+            room = np.where(known[x] & known[y], room, size[x])
+            gap = (100 + s) * room - s * (size[x] + size[y])
+            found.append(np.stack([x, y, gap])[:, gap >= 0])
+    x, y, gap = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    if tries and len(x):  # per class outside the host the pairs with the widest gap
+        out = np.where(host[x], y, x)
+        by = np.lexsort((-gap, out))
+        first = np.flatnonzero(np.concatenate(([True], out[by][1:] != out[by][:-1])))
+        order = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+        x, y = x[by[order < tries]], y[by[order < tries]]
+    pairs = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1), axis=0)
+    for a in range(0, len(pairs), 1 << 16):
+        part = np.ascontiguousarray(pairs[a:a + (1 << 16)].T)
+        yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], names=["a", "b"])
+
+
 class Join:
     """The stages of one similarity self-join; ``components`` is its result."""
 
@@ -360,30 +435,27 @@ class Join:
         return stage(both.select("a", "b", "sa", "sb").mapInArrow(
             _verified(self.share), "a bigint, b bigint").distinct(), "jaccard-links")
 
-    def _pivot_pairs(self, post: DataFrame, lots: int, seed: int) -> DataFrame:
-        """A pair of classes for each posting, with the one of its shingle that is first by a hash.
+    def _pivot_pairs(self, post: DataFrame) -> DataFrame:
+        """A pair of classes for each posting, with the smallest class of its shingle.
 
-        Shingles fall into ``lots`` lots with a hash each, so the members of a large group
-        meet a few common classes. The length filter and the positional filter for any shared
-        shingle hold for every pair; what is left out here is met in ``_open_pairs``.
+        The length filter and the positional filter for any shared shingle hold for every pair;
+        what is left out here is met in ``_open_pairs``.
         """
-        s, lot = self.share, F.pmod("shingle", F.lit(lots)) + seed
-        own = F.struct((F.xxhash64("class", lot) if lots > 1 else F.col("class")).alias("h"),
-                       F.col("class").alias("b"),
-                       F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+        s = self.share
+        own = F.struct(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
         pivots = stage(post.groupBy("shingle").agg(
             F.min(own).alias("pivot"), F.min("class").alias("low"), F.max("class").alias("high"))
-            .filter("low < high").select("shingle", "pivot.b", "pivot.nb", "pivot.pb", "pivot.lb"),
-            "jaccard-pivots")
+            .filter("low < high").select("shingle", "pivot.*"), "jaccard-pivots")
         rows = post.join(pivots, "shingle").withColumnsRenamed({"class": "a", "n": "na", "pos": "pa"})
         room = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
         return (rows.filter(
-            (F.col("label") != F.col("lb")) & (100 * F.least("na", "nb") >= s * F.greatest("na", "nb"))
+            (F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= s * F.greatest("na", "nb"))
             & ((100 + s) * room >= s * (F.col("na") + F.col("nb")))).select("a", "b"))
 
     def _open(self, post: DataFrame, labels: DataFrame) -> DataFrame:
         """Labelled rows of ``post`` whose shingle's classes are not all in one component."""
-        known = stage(self.named_classes.join(labels, F.col("rep") == F.col("node"))
+        roots = labels.select(F.col("label").alias("node"), "label").distinct()
+        known = stage(self.named_classes.join(labels.unionByName(roots), F.col("rep") == F.col("node"))
                       .select("class", "label"), "jaccard-known")
         known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
         post = (post.drop("label").join(known, "class", "left")
@@ -393,25 +465,26 @@ class Join:
                  .filter("low < high").select("shingle"))
         return stage(post.join(mixed, "shingle", "left_semi"), "jaccard-open")
 
-    def _open_pairs(self, post: DataFrame) -> DataFrame:
-        """Pairs of different components that share a prefix shingle of ``_open``.
+    def _open_pairs(self, post: DataFrame, tries: int = 0) -> DataFrame:
+        """Distinct rows (a, b) of different components that pass all filters at a shingle of ``post``.
 
-        At the first shingle two sets share, the overlap is at most what either has from
-        there on, and later shared shingles only leave less; so each row is held to that
-        bound. The smaller set can meet it in its index prefix alone, which is shorter.
+        With ``tries``, a class outside the commonest component of its shingle and block meets
+        the ``tries`` members of it that leave the most room. Without, all pairs are met: each
+        block of a shingle meets each other block.
         """
-        s = self.share
-        one = (post.filter((100 + s) * (F.col("n") - F.col("pos")) >= 2 * s * F.col("n"))
-               .select("shingle", F.col("class").alias("a"), F.col("n").alias("na"),
-                       F.col("pos").alias("pa"), F.col("label").alias("la")))
-        two = post.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"),
-                          F.col("pos").alias("pb"), F.col("label").alias("lb"))
-        need = s * (F.col("na") + F.col("nb"))
-        fits = ((F.col("la") != F.col("lb")) & (100 * F.col("na") >= s * F.col("nb"))
-                & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-                & ((100 + s) * (F.col("na") - F.col("pa")) >= need)
-                & ((100 + s) * (F.col("nb") - F.col("pb")) >= need))
-        return one.join(two, "shingle").filter(fits).select("a", "b")
+        rows = post.join(self.classes.select(F.col("k1").alias("class"), "rep", "cells"), "class")
+        cuts = (post.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+                .filter("blocks > 1"))
+        rows = rows.join(cuts, "shingle", "left").withColumn(
+            "blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
+        own = F.pmod(F.xxhash64("class"), F.col("blocks"))
+        meets = F.array(own) if tries else F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+        rows = rows.select("shingle", "class", "n", "pos", "label", "rep", "cells", own.alias("own"),
+                           F.explode(meets).alias("met"))
+        rows = rows.withColumns({"x": F.least("own", "met"), "y": F.greatest("own", "met")})
+        found = (rows.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
+                 .mapInArrow(_met(self.share, tries), "a bigint, b bigint"))
+        return stage(found.distinct(), "jaccard-met")
 
     def labels(self) -> DataFrame:
         """(node, label) of every class representative that is linked with another."""
@@ -419,24 +492,29 @@ class Join:
                    .filter("a < b").select("a", "b"))
         own = (self.nodes.join(repeats.select("b"), F.col("rep") == F.col("b"), "left_semi")
                .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-        often = self.postings.filter("frequent").withColumn("label", F.col("class"))
-        seen = self._passing(self.pairs.unionByName(self._pivot_pairs(often, 1, 0)))
+        often = self.postings.filter("frequent")
+        seen = self._passing(self.pairs.unionByName(self._pivot_pairs(often)))
         links = stage(self._links(seen).unionByName(repeats).unionByName(own).filter("a <> b")
                       .distinct(), "jaccard-edges")
         labels = stage(connected_components(links, "a", "b"), "jaccard-labels")
-        post = self.postings
-        for find in (lambda post: self._pivot_pairs(post, PIVOTS, 1), self._open_pairs):
-            post = self._open(post, labels)
-            more = stage(self._passing(find(post)).join(seen, ["a", "b"], "left_anti"), "jaccard-more")
-            if more.isEmpty():
-                continue
-            new = self._links(more)
-            seen = seen.unionByName(more)
-            if new.isEmpty():
-                continue
-            links = links.unionByName(new)
-            labels = stage(connected_components(links, "a", "b"), "jaccard-labels")
-        return labels
+        post, last = self._open(self.postings, labels), None
+        while True:
+            count = post.select("label").distinct().count()
+            tries = TRIES if last is None or 10 * count < 9 * last else 0
+            more = self._open_pairs(post, tries) if count else None
+            if more is not None:
+                more = stage(more.join(seen, ["a", "b"], "left_anti"), "jaccard-more")
+            new = None if more is None or more.isEmpty() else self._links(more)
+            if new is not None:
+                seen = seen.unionByName(more)
+                if not new.isEmpty():
+                    links = links.unionByName(new)
+                    labels = stage(connected_components(links, "a", "b"), "jaccard-labels")
+            if not count or not tries:
+                return labels
+            last = count
+            if new is not None:
+                post = self._open(post, labels)
 
     def components(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id."""

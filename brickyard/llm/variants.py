@@ -354,8 +354,10 @@ def _sharded(words: DataFrame, shard_words: int) -> DataFrame:
                       F.transform(others, lambda i: cell(own, i, yes, no)),
                       F.when(F.col("asks"), F.transform(others, lambda i: cell(i, own, no, yes)))
                       .otherwise(F.array().cast("array<struct<x:bigint,y:bigint,indexed:boolean,asks:boolean>>")))
-    return rows.select("word", "n", "family", "shard", F.explode(places).alias("p")).select(
+    rows = rows.select("word", "n", "family", "shard", F.explode(places).alias("p")).select(
         "word", "n", "family", "shard", "p.*")
+    # Searching is much work on few bytes; a set number of tasks is not merged by size.
+    return rows.repartition(3 * shards, "family", "shard", "x", "y")
 
 
 def nearest(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:

@@ -145,6 +145,52 @@ def test_jaccard_large_groups_stay_linear(spark):
     assert sum(seen) < 20 * len(rows)
 
 
+def _copies(group, words, most, seed=1):
+    """Near copies of one text: a word replaced, up to ``most`` words appended."""
+    rng, rows = random.Random(seed), []
+    for i in range(group):
+        t = [f"v{k}" for k in range(words)]
+        t[rng.randrange(words)] = f"x{i}"
+        rows.append((i, " ".join(t + [f"y{i}_{k}" for k in range(rng.randrange(most + 1))])))
+    return rows
+
+
+@pytest.mark.parametrize("words, most", [(300, 0), (60, 2)])
+def test_jaccard_pairs_of_a_large_group_are_linear(spark, monkeypatch, words, most):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 256)
+    made = {}
+    for group in (300, 900):
+        join = jaccard.Join(frame(spark, _copies(group, words, most)))
+        open_pairs, passing, seen = join._open_pairs, join._passing, []
+
+        def counted(pairs, seen=seen, passing=passing):
+            seen.append(pairs.count())
+            return passing(pairs)
+
+        def met(*options, seen=seen, open_pairs=open_pairs):
+            out = open_pairs(*options)
+            seen.append(out.count())
+            return out
+        join._passing, join._open_pairs = counted, met
+        assert {r.component_id for r in join.components().collect()} == {0}
+        made[group] = sum(seen)
+    assert made[900] < 4 * made[300]
+
+
+def test_jaccard_last_round_meets_all_blocks(spark, monkeypatch):
+    """Texts that share one hot passage and link with no more than one other."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
+    rng, words = random.Random(9), [f"w{i}" for i in range(400)]
+    passage = [rng.choice(words) for _ in range(9)]
+    rows = []
+    for i in range(60):
+        t = [rng.choice(words) for _ in range(30)]
+        rows += [(2 * i, " ".join(passage + t)), (2 * i + 1, " ".join(passage + t[:-1] + ["end"]))]
+    rng.shuffle(rows)
+    got = sorted(map(tuple, jaccard.near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == _components(rows)
+
+
 def test_jaccard_filter_and_empty(spark):
     docs = frame(spark)
     kept = jaccard.without_near_duplicates(docs)
