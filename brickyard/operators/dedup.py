@@ -9,9 +9,11 @@ Enumerating all matching pairs of a block is quadratic, and a block of address-l
 listings may hold a large share of the table. :func:`duplicate_links` therefore emits a
 linear number of links with the same components: rows equal in everything the match looks
 at become one node first, and nodes link only to their neighbours in price order - among
-the unlocated nodes of the block, and among the nodes of one place or of two places within
-40 m. Prices are split into bands slightly wider than the tolerance, each band seeing the
-next one, so that a sort covers one band of one block.
+the unlocated nodes of the block, and among the nodes of a cell less than 40 m across, in four
+shifted grids. Between neighbouring cells, nodes that are not joined by then try the next one
+in price of the other cell; all pairs are tried only of what is still apart after that. Prices
+are split into bands slightly wider than the tolerance, each band seeing the next one, so that
+a sort covers one band of one block.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ SURFACE_BUCKET = 5.0
 
 _BAND = 1.0002 * -math.log(1.0 - PRICE_TOLERANCE)
 _PLACE_DEG = 1.001 * GEO_TOLERANCE_M / 111_194.0
+_CELL_DEG = 0.998 * GEO_TOLERANCE_M / 111_195.0 / math.sqrt(2.0)
 
 
 # -- distinct ----------------------------------------------------------------
@@ -116,52 +119,35 @@ def _unlocated_links(nodes: DataFrame) -> DataFrame:
             .filter(_close(F.col("_p"), F.col("_op"))).select(*_edge("node", "_on")))
 
 
-def _lon_width(row: Column) -> Column:
-    edge = F.least(F.lit(89.0), F.greatest(F.abs(row), F.abs(row + 1))
-                   * F.lit(_PLACE_DEG) + 0.01)
-    return F.lit(_PLACE_DEG) / F.cos(F.radians(edge))
-
-
-def _near_places(nodes: DataFrame) -> DataFrame:
-    """Groups of one place, and of two places of a block at most 40 m apart."""
-    places = nodes.filter(F.col("_lat").isNotNull()).select("_block", "_lat", "_lon").distinct()
-    row = F.floor(F.col("_lat") / F.lit(_PLACE_DEG)).cast("bigint")
-    home = (places.withColumn("_r", row)
-            .withColumn("_c", F.floor(F.col("_lon") / _lon_width(F.col("_r"))).cast("bigint")))
-    look = (places.select(F.col("_block").alias("b2"), F.col("_lat").alias("lat2"),
-                          F.col("_lon").alias("lon2"), row.alias("r0"))
-            .withColumn("r2", F.explode(F.sequence(F.col("r0") - 1, F.col("r0") + 1)))
-            .withColumn("w", _lon_width(F.col("r2")))
-            .withColumn("c2", F.explode(F.sequence(
-                F.floor((F.col("lon2") - F.col("w")) / F.col("w")).cast("bigint"),
-                F.floor((F.col("lon2") + F.col("w")) / F.col("w")).cast("bigint")))))
-    cond = ((F.col("_block") == F.col("b2")) & (F.col("_r") == F.col("r2"))
-            & (F.col("_c") == F.col("c2")))
-    later = (F.col("lat2") > F.col("_lat")) | (
-        (F.col("lat2") == F.col("_lat")) & (F.col("lon2") > F.col("_lon")))
-    dist = geo.haversine_m(F.col("_lat"), F.col("_lon"), F.col("lat2"), F.col("lon2"))
-    pairs = (home.join(look, cond).filter(later & (dist <= GEO_TOLERANCE_M))
-             .select("_block", "_lat", "_lon", "lat2", "lon2"))
-    two = (pairs.withColumn("_g", F.struct("_lat", "_lon", "lat2", "lon2"))
-           .select("_block", "_g", F.explode(F.array(
-               F.struct("_lat", "_lon"),
-               F.struct(F.col("lat2").alias("_lat"), F.col("lon2").alias("_lon")))).alias("_x"))
-           .select("_block", "_g", "_x._lat", "_x._lon"))
-    one = places.select("_block", F.struct(
-        "_lat", "_lon", F.col("_lat").alias("lat2"), F.col("_lon").alias("lon2")).alias("_g"),
-        "_lat", "_lon")
-    return one.unionByName(two)
+def _grid(lat: Column, lon: Column, up: float = 0.0, right: float = 0.0) -> tuple[Column, Column]:
+    """Row and column in a grid whose cells are less than the tolerance across, shifted by parts of a cell."""
+    row = F.floor(lat / F.lit(_CELL_DEG) + up).cast("bigint")
+    south = (row - up) * F.lit(_CELL_DEG)
+    flat = F.when(south * (south + F.lit(_CELL_DEG)) <= 0, 0.0).otherwise(
+        F.least(F.abs(south), F.abs(south + F.lit(_CELL_DEG)), F.lit(89.9999)))
+    width = F.lit(_CELL_DEG) / F.cos(F.radians(flat))
+    return row, F.floor(lon / width + right).cast("bigint")
 
 
-def _place_links(nodes: DataFrame) -> DataFrame:
-    """Neighbours in price order within each place group; unpriced ones join the group."""
-    members = nodes.join(_near_places(nodes), ["_block", "_lat", "_lon"])
+def _cell_links(nodes: DataFrame) -> DataFrame:
+    """Neighbours in price order within each cell of four grids; unpriced ones join their cell.
+
+    All members of a cell are within the tolerance of each other, and places at most half a
+    cell apart share one in some grid.
+    """
+    grids = [(up, right) for up in (0.0, 0.5) for right in (0.0, 0.5)]
+    cells = []
+    for i, (up, right) in enumerate(grids):
+        row, column = _grid(F.col("_lat"), F.col("_lon"), up, right)
+        cells.append(F.struct(F.lit(i).alias("grid"), row.alias("row"), column.alias("column")))
+    members = (nodes.filter(F.col("_lat").isNotNull()).withColumn("_g", F.explode(F.array(*cells)))
+               .select("node", "_block", "_p", "_g"))
     w = Window.partitionBy("_block", "_g", "_band").orderBy("_p", "node")
     chain = (_banded(members).withColumn("_on", F.lead("node").over(w))
              .withColumn("_op", F.lead("_p").over(w))
              .filter(F.col("_on").isNotNull() & _close(F.col("_p"), F.col("_op")))
              .select(*_edge("node", "_on")))
-    # an unpriced member matches every member, so the whole group is one cluster
+    # an unpriced member matches every member, so the whole cell is one cluster
     hubs = (members.groupBy("_block", "_g")
             .agg(F.min("node").alias("hub"), F.bool_or(F.col("_p").isNull()).alias("any"))
             .filter("any").select("_block", "_g", "hub"))
@@ -169,6 +155,103 @@ def _place_links(nodes: DataFrame) -> DataFrame:
     return chain.unionByName(star)
 
 
+def _reach(lat: Column) -> Column:
+    """Degrees of longitude that span the tolerance at a latitude; all of them next to a pole."""
+    r = math.radians(_PLACE_DEG)
+    return F.when(F.abs(F.radians(lat)) + r >= math.pi / 2, F.lit(360.0)).otherwise(
+        F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(r)) / F.cos(F.radians(lat))))))
+
+
+def _cell_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of occupied cells of a block whose places may lie within the tolerance."""
+    row, column = _grid(F.col("_lat"), F.col("_lon"))
+    cells = cut(nodes.filter(F.col("_lat").isNotNull()).groupBy("_block", row.alias("r"), column.alias("c")).agg(
+        *[f(x).alias(f"{n}{x}") for x in ("_lat", "_lon") for n, f in (("low", F.min), ("high", F.max))]))
+    box = [c for c in cells.columns if c.startswith(("low", "high"))]
+    south, north = F.col("low_lat") - _PLACE_DEG, F.col("high_lat") + _PLACE_DEG
+    look = cells.withColumn("r2", F.explode(F.sequence(
+        F.floor(south / F.lit(_CELL_DEG)).cast("bigint"), F.floor(north / F.lit(_CELL_DEG)).cast("bigint"))))
+    wide = _reach(F.greatest(F.abs("low_lat"), F.abs("high_lat")))
+    ends = [_grid((F.col("r2") + 0.5) * _CELL_DEG, x)[1] for x in (F.col("low_lon") - wide, F.col("high_lon") + wide)]
+    look = (look.withColumn("c2", F.explode(F.sequence(*ends)))
+            .filter((F.col("r2") > F.col("r")) | ((F.col("r2") == F.col("r")) & (F.col("c2") > F.col("c")))))
+    other = cells.select(F.col("_block"), F.col("r").alias("r2"), F.col("c").alias("c2"),
+                         *[F.col(c).alias(f"o{c}") for c in box])
+
+    def gap(x: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(f"olow{x}") - F.col(f"high{x}"), F.col(f"low{x}") - F.col(f"ohigh{x}"))
+
+    flat = F.cos(F.radians(F.greatest(*[F.abs(f"{n}_lat") for n in ("low", "high", "olow", "ohigh")])))
+    near = (gap("_lat") <= _PLACE_DEG) & (
+        flat * F.sin(F.radians(F.least(F.lit(90.0), gap("_lon")))) <= math.sin(math.radians(_PLACE_DEG)))
+    return look.join(other, ["_block", "r2", "c2"]).filter(near).select("_block", "r", "c", "r2", "c2")
+
+
+def _open_members(nodes: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the cell pairs that are not one component yet, with their side and label."""
+    row, column = _grid(F.col("_lat"), F.col("_lon"))
+    placed = (nodes.filter(F.col("_lat").isNotNull()).withColumns({"x": row, "y": column})
+              .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    pair = F.struct("r", "c", "r2", "c2").alias("_g")
+    sides = pairs.select("_block", pair, F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("r").alias("x"), F.col("c").alias("y")),
+        F.struct(F.lit(1).alias("side"), F.col("r2").alias("x"), F.col("c2").alias("y")))).alias("_s")).select(
+        "_block", "_g", "_s.*")
+    members = cut(sides.join(placed, ["_block", "x", "y"]).drop("x", "y"))
+    open_ = (members.groupBy("_block", "_g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+             .filter("low < high").select("_block", "_g"))
+    return cut(members.join(open_, ["_block", "_g"], "left_semi"))
+
+
+def _within(a: str = "", b: str = "_o") -> Column:
+    return geo.haversine_m(F.col(f"{a}_lat"), F.col(f"{a}_lon"), F.col(f"{b}_lat"), F.col(f"{b}_lon")) <= GEO_TOLERANCE_M
+
+
+def _witnesses(members: DataFrame) -> DataFrame:
+    """Links between the sides of open cell pairs by one try per node: the next one in price.
+
+    Where both sides are wholly within the tolerance this joins all that can be joined.
+    """
+    w = Window.partitionBy("_block", "_g", "_band").orderBy("_p", "node")
+    ahead = F.lead(F.struct("node", "_p", "_lat", "_lon", "side")).over(w)
+    priced = (_banded(members).withColumn("_n", ahead).filter("_n.side <> side")
+              .withColumns({"_o_lat": F.col("_n._lat"), "_o_lon": F.col("_n._lon"), "_on": F.col("_n.node")})
+              .filter(_close(F.col("_p"), F.col("_n._p")) & _within()).select(*_edge("node", "_on")))
+    hubs = (members.filter(F.col("_p").isNull()).groupBy("_block", "_g", "side")
+            .agg(F.min(F.struct("node", "_lat", "_lon")).alias("h")).withColumnRenamed("side", "_os"))
+    unpriced = (members.join(hubs, ["_block", "_g"]).filter("side <> _os")
+                .withColumns({"_o_lat": F.col("h._lat"), "_o_lon": F.col("h._lon"), "_on": F.col("h.node")})
+                .filter(_within()).select(*_edge("node", "_on")))
+    return priced.unionByName(unpriced)
+
+
+def _remaining(members: DataFrame) -> DataFrame:
+    """Links between different components of cell pairs that are still open, all of them tried."""
+    one = members.filter("side = 0")
+    two = members.filter("side = 1").select("_block", "_g", *[
+        F.col(c).alias(f"_o{c}") for c in ("node", "_p", "_lat", "_lon", "label")])
+    apart = (F.col("label") != F.col("_olabel")) & _within()
+    priced = (_banded(one).join(_banded(two.withColumnRenamed("_o_p", "_p")).withColumnRenamed("_p", "_o_p"),
+                                ["_block", "_g", "_band"]).filter(apart & _close(F.col("_p"), F.col("_o_p"))))
+    free = F.col("_p").isNull() | F.col("_o_p").isNull()
+    unpriced = one.join(two, ["_block", "_g"]).filter(free & apart)
+    return priced.select(*_edge("node", "_onode")).unionByName(unpriced.select(*_edge("node", "_onode")))
+
+
+def _place_links(nodes: DataFrame) -> DataFrame:
+    """Links of located nodes: within cells, then between cells of what is not joined by them."""
+    links = cut(_cell_links(nodes).distinct())
+    pairs = cut(_cell_pairs(nodes))
+    if pairs.isEmpty():
+        return links
+    for find in (_witnesses, _remaining):
+        members = _open_members(nodes, pairs, connected_components(links, "a_id", "b_id"))
+        if members.isEmpty():
+            break
+        links = cut(links.unionByName(find(members)).distinct())
+    return links
+
+
 def _unpriced_links(nodes: DataFrame) -> DataFrame:
     """Links of unpriced nodes across the block, through one hub per kind."""
     free, no_price = F.col("_lat").isNull(), F.col("_p").isNull()

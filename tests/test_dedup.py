@@ -74,6 +74,41 @@ def test_links_stay_linear_in_a_hot_group(spark):
     assert dedup.duplicate_links(spark.createDataFrame(rows, SCHEMA)).count() < 3 * len(rows)
 
 
+def test_distinct_places_close_together_stay_linear(spark):
+    """3,000 places within 40 m of each other: few links a node, the same clusters."""
+    rng = random.Random(8)
+    rows = [rec(f"{i:05d}", rng.choice([1e5, 2e5, 4e5]) * (1 + rng.random() * 0.2), 50.85 + rng.random() * 2.4e-4,
+                4.35 + rng.random() * 3.8e-4) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert dedup.duplicate_links(df).count() < 5 * len(rows)
+    got = {r[0]: r[1] for r in dedup.dedup_clusters(df).select("listing_id", "cluster_id").collect()}
+    assert got == brute(rows)
+
+
+def test_two_dense_places_at_the_edge_of_the_tolerance(spark):
+    """Two groups 25 to 45 m apart: joined by few links or not at all, never by all pairs."""
+    for east in (3.6e-4, 5.5e-4, 5.7e-4, 6.5e-4):
+        rng = random.Random(int(east * 1e6))
+        rows = [rec(f"{i:05d}", 2e5 + i, 50.85 + rng.random() * 2e-5, 4.35 + (i % 2) * east + rng.random() * 2e-5)
+                for i in range(400)]
+        df = spark.createDataFrame(rows, SCHEMA)
+        assert dedup.duplicate_links(df).count() < 5 * len(rows)
+        got = {r[0]: r[1] for r in dedup.dedup_clusters(df).select("listing_id", "cluster_id").collect()}
+        assert got == brute(rows)
+
+
+def test_places_over_cells_equal_brute_force(spark):
+    """Places spread over cells, north, south and far north, with unpriced ones among them."""
+    for seed, (lat, lon) in enumerate([(50.85, 4.35), (-0.0001, -0.0002), (89.99, 10.0)]):
+        rng = random.Random(seed)
+        wide = 1 / math.cos(math.radians(lat))
+        rows = [rec(f"{i:04d}", None if rng.random() < 0.02 else rng.choice([1e5, 1.2e5, 3e5]) * (1 + rng.random() * 0.05),
+                    lat + rng.random() * 2e-3, lon + rng.random() * 2e-3 * wide) for i in range(260)]
+        got = {r[0]: r[1] for r in dedup.dedup_clusters(spark.createDataFrame(rows, SCHEMA)).select(
+            "listing_id", "cluster_id").collect()}
+        assert got == brute(rows)
+
+
 def test_components_of_a_long_chain(spark):
     n = 3000
     ids = list(range(n))
