@@ -10,7 +10,10 @@ Plan, per group (market):
 3. the listings of all cells that the bound can reach are sent to the query's own cell, and
    ranked there. The result is exact without a second round, every query sees a small
    multiple of ``k`` candidates whatever the density, and the candidate pairs are never
-   shuffled: the rank runs on the partitioning of the join.
+   shuffled: the rank runs on the partitioning of the join;
+4. a query with too few points in the first sizes is far from all of them, and such a bound
+   would be wide. It descends a pyramid of cells with their counts and the boxes of their
+   points instead, and drops at each size what lies beyond its bound.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ LON_STRETCH = 1.5      # cells about as wide as high at 48 degrees
 QUERIES_PER_TASK_CELL = 512
 _PROBE_DEG = 0.05
 _FIRST_LEVELS = 5
+_STEP = 3              # sizes between two levels of the pyramid
 
 
 def finest_cell(points: DataFrame, keys: Sequence[str], k: int) -> float:
@@ -67,6 +71,89 @@ def _choose_level(asked: DataFrame, fine: DataFrame, keys: list[str], need: int,
             .groupBy(*keys, "x0", "y0").agg(F.min("lv").alias("lv")))
 
 
+def _lists(pairs: DataFrame, by: list[str], need: int, carry: Sequence[str]) -> DataFrame:
+    """``_nb``: the first ``need`` points of each query, ranked by the haversine term ``_a``."""
+    w = Window.partitionBy(*by).orderBy("_a", "_pid")
+    ranked = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= need)
+    metres = F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt("_a")))
+    item = F.struct(F.col("_rn"), metres.alias("distance_m"), F.col("_pid").alias("id"),
+                    *[F.col(f"_carry.{c}").alias(c) for c in carry])
+    return ranked.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_nb"))
+
+
+def _term(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Haversine term of places in radians."""
+    up, right = F.sin((lat2 - lat1) / 2), F.sin((lon2 - lon1) / 2)
+    return up * up + F.cos(lat2) * F.cos(lat1) * right * right
+
+
+def _angle(term: Column) -> Column:
+    return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(term)))
+
+
+def pyramid(pts: DataFrame, px: Column, py: Column, finest: float, keys: list[str]) -> tuple[DataFrame, int]:
+    """Occupied cells of every ``_STEP``-th size: point count, centre and radius of what is inside.
+
+    Radii are those of the box of the points, not of the cell, so a cluster is known tightly
+    at any size. The greatest size has a few cells in all.
+    """
+    top = _STEP * math.ceil((math.ceil(math.log2(360.0 / finest)) + 1) / _STEP)
+    fine = cut(pts.groupBy(*keys, px.alias("x0"), py.alias("y0")).agg(
+        F.count("*").alias("n"), *[f(f"_p{c}").alias(f"{n}_{c}") for c in ("lat", "lon")
+                                   for n, f in (("low", F.min), ("high", F.max))]))
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(top), F.lit(_STEP)))
+    cells = (fine.withColumn("lv", sizes)
+             .groupBy(*keys, "lv", _parent("x0").alias("cx"), _parent("y0").alias("cy"))
+             .agg(F.sum("n").alias("n"), *[f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("lat", "lon")
+                                           for n, f in (("low", F.min), ("high", F.max))]))
+    low, high = [[F.radians(f"{n}_{c}") for c in ("lat", "lon")] for n in ("low", "high")]
+    lat, lon = (low[0] + high[0]) / 2, (low[1] + high[1]) / 2
+    # of a box in degrees, the places farthest from its centre are corners
+    radius = F.greatest(*[_angle(_term(lat, lon, x, high[1])) for x in (low[0], high[0])]) * 1.000001 + 1e-9
+    return cut(cells.select(*keys, "lv", "cx", "cy", "n", lat.alias("clat"), lon.alias("clon"),
+                            radius.alias("radius"))), top
+
+
+def descend(far: DataFrame, cells: DataFrame, top: int, keys: list[str], need: int) -> DataFrame:
+    """Finest cells that can hold one of a query's ``need`` nearest points, and its bound.
+
+    Level by level: the bound is the smallest distance within which whole cells hold ``need``
+    points; cells that lie beyond it are dropped, the others are replaced by theirs of the
+    next size. What a query keeps is a few cells of each size around its bound.
+    """
+    at = far.join(cells.filter(F.col("lv") == top), keys)
+    for size in range(top, -1, -_STEP):
+        off = _angle(_term(F.radians("_qlat"), F.radians("_qlon"), F.col("clat"), F.col("clon")))
+        at = at.withColumns({"_near": F.greatest(F.lit(0.0), off - F.col("radius")), "_far": off + F.col("radius")})
+        upto = Window.partitionBy("_q").orderBy("_far", "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)
+        full = F.when(F.sum("n").over(upto) >= need, F.col("_far"))
+        at = at.withColumn("_full", full).withColumn(
+            "_bound", F.coalesce(F.min("_full").over(Window.partitionBy("_q")), F.lit(math.pi)) * 1.000001 + 1e-9)
+        at = cut(at.filter(F.col("_near") <= F.col("_bound"))
+                 .select(*keys, "_q", "_qlat", "_qlon", "cx", "cy", "_bound"))
+        if size:
+            scale = F.lit(float(2**_STEP))
+            inner = (cells.filter(F.col("lv") == size - _STEP)
+                     .withColumns({"ox": F.floor(F.col("cx") / scale).cast("bigint"),
+                                   "oy": F.floor(F.col("cy") / scale).cast("bigint")}))
+            at = (at.drop("_bound").withColumnsRenamed({"cx": "ox", "cy": "oy"})
+                  .join(inner.drop("lv"), [*keys, "ox", "oy"]).drop("ox", "oy"))
+    return at
+
+
+def _far_lists(far: DataFrame, pts: DataFrame, px: Column, py: Column, finest: float, keys: list[str],
+               need: int, carry: Sequence[str]) -> DataFrame:
+    """Neighbour lists of queries far from all points, by branch and bound."""
+    cells, top = pyramid(pts, px, py, finest, keys)
+    far = cut(far.select(*keys, "_qlat", "_qlon", F.monotonically_increasing_id().alias("_q")))
+    reach = descend(far, cells, top, keys, need)
+    at = pts.withColumns({"cx": px, "cy": py})
+    term = _term(F.radians("_qlat"), F.radians("_qlon"), F.radians("_plat"), F.radians("_plon"))
+    pairs = (reach.join(at, [*keys, "cx", "cy"]).withColumn("_a", term)
+             .filter(_angle(F.col("_a")) <= F.col("_bound")).select("_q", "_a", "_pid", "_carry"))
+    return _lists(pairs, ["_q"], need, carry).join(far, "_q").select(*keys, "_qlat", "_qlon", "_nb")
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str] = ("market",),
             point_id: str = "listing_id", carry: Sequence[str] = (),
             exclude_id: str | None = None, finest: float | None = None) -> DataFrame:
@@ -87,7 +174,6 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str
     pts = cut(pts.withColumn("_rn", F.row_number().over(place)).filter(F.col("_rn") <= need)
               .drop("_rn"))
     finest = finest or finest_cell(pts, keys, need)
-    top = math.ceil(math.log2(360.0 / finest)) + 1
 
     asked = cut(queries.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
                 .select(*keys, F.col("latitude").alias("_qlat"),
@@ -98,13 +184,12 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str
     qx, qy = _cells(F.col("_qlat"), F.col("_qlon"), finest)
     fine = pts.groupBy(*keys, px.alias("x0"), py.alias("y0")).agg(F.count("*").alias("n"))
     asked = asked.withColumns({"x0": qx, "y0": qy})
-    # few queries need more than the first sizes, so only those look through the rest
-    split = min(_FIRST_LEVELS, top)
-    chosen = _choose_level(asked, fine, keys, need, 0, split)
-    asked = asked.join(chosen, [*keys, "x0", "y0"], "left")
-    rest = _choose_level(asked.filter("lv is null"), fine, keys, need, split + 1, top)
-    asked = asked.join(rest.withColumnRenamed("lv", "lv2"), [*keys, "x0", "y0"], "left")
-    asked = asked.withColumn("lv", F.coalesce("lv", "lv2", F.lit(top))).drop("lv2")
+    # a query whose first sizes hold too few points is far from them and descends the pyramid
+    top = min(_FIRST_LEVELS, math.ceil(math.log2(360.0 / finest)) + 1)
+    chosen = _choose_level(asked, fine, keys, need, 0, top)
+    asked = cut(asked.join(chosen, [*keys, "x0", "y0"], "left"))
+    far = asked.filter("lv is null").drop("lv")
+    asked = asked.filter("lv is not null")
     asked = asked.withColumns({"hx": _parent("x0"), "hy": _parent("y0")}).drop("x0", "y0")
 
     # upper bound of the k-th distance and the cells it can reach
@@ -116,7 +201,6 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str
                                 (F.col("hy") + 2) * gl - F.col("_qlon")))
     flat = F.cos(F.greatest(F.lit(0.0), F.abs(F.radians("_qlat")) - high))
     angle = F.least(F.hypot(high, wide * flat) * 1.000001, F.lit(math.pi))
-    angle = F.when(F.col("lv") >= top, F.lit(math.pi)).otherwise(angle)
     # the identifiers are fixed by writing the rows
     asked = cut(asked.withColumns({"_r": angle, "_q": F.monotonically_increasing_id()}))
     pole = (F.abs(F.radians("_qlat")) + F.col("_r")) >= math.pi / 2
@@ -161,16 +245,12 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str
              .select("_h", "_salt", "_q", "_lim", "_pid", "_carry",
                      (sf * sf + F.col("_pc") * F.col("_qc") * sl * sl).alias("_a"))
              .filter(F.col("_a") <= F.col("_lim")).drop("_lim"))
-    w = Window.partitionBy("_h", "_salt", "_q").orderBy("_a", "_pid")
-    ranked = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= need)
-    metres = F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt("_a")))
-    item = F.struct(F.col("_rn"), metres.alias("distance_m"), F.col("_pid").alias("id"),
-                    *[F.col(f"_carry.{c}").alias(c) for c in carry])
-    found = (ranked.groupBy("_h", "_salt", "_q")
-             .agg(F.array_sort(F.collect_list(item)).alias("_nb")).select("_q", "_nb")
-             .join(asked, "_q")
-             .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
-                     F.col("_qlat").alias("_fl"), F.col("_qlon").alias("_fo"), "_nb"))
+    found = _lists(pairs, ["_h", "_salt", "_q"], need, carry).select("_q", "_nb").join(asked, "_q").select(
+        *keys, "_qlat", "_qlon", "_nb")
+    if not far.isEmpty():
+        found = found.unionByName(_far_lists(far, pts, px, py, finest, keys, need, carry))
+    found = found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
+                         F.col("_qlat").alias("_fl"), F.col("_qlon").alias("_fo"), "_nb")
 
     cond = (F.col("latitude") == F.col("_fl")) & (F.col("longitude") == F.col("_fo"))
     for i, c in enumerate(keys):

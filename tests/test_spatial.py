@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from brickyard.operators import best
+from brickyard.operators import best, knn
 from brickyard.operators.knn import nearest
 from brickyard.operators.quantiles import group_quantiles, value_ranks, with_percentile
 from brickyard.operators.radius import within_radius
@@ -57,6 +57,29 @@ def test_nearest_from_far_away_and_with_few_points(spark):
     assert sorted(x.id for x in got["q"]) == ["a", "b"] and got["n"] is None and got["r"] is None
 
 
+def test_far_queries_see_a_multiple_of_k_candidates(spark):
+    """A dense cluster seen from 300 km and from the other side of the globe."""
+    rng, k = random.Random(2), 10
+    rows = [(f"{i:05d}", "sale", 50.8 + rng.gauss(0, 0.05), 4.3 + rng.gauss(0, 0.05)) for i in range(4000)]
+    rows += [("lone", "sale", 49.0, 6.0), ("rent", "rent", 50.0, 4.0)]
+    pts = spark.createDataFrame(rows, "listing_id string, market string, latitude double, longitude double")
+    asked = [("a", "sale", 53.5, 4.3), ("b", "sale", 50.8, 8.6), ("c", "sale", 48.3, 2.0), ("d", "sale", -40.0, 175.0),
+             ("e", "sale", 89.9, 100.0), ("f", "rent", 10.0, 10.0), ("g", "none", 10.0, 10.0)]
+    q = spark.createDataFrame(asked, "request_id string, market string, latitude double, longitude double")
+    got = {r.request_id: r.neighbours for r in nearest(q, pts, k).collect()}
+    for rid, market, *place in asked:
+        want = sorted((metres(place, r[2:]), r[0]) for r in rows if r[1] == market)[:k]
+        assert [x.id for x in got[rid] or []] == [w[1] for w in want]
+    own = pts.filter("market = 'sale'").selectExpr("market", "latitude _plat", "longitude _plon", "listing_id _pid")
+    finest = knn.finest_cell(own, ["market"], k)
+    x, y = knn._cells(F.col("_plat"), F.col("_plon"), finest)
+    cells, top = knn.pyramid(own, x, y, finest, ["market"])
+    far = q.limit(5).selectExpr("market", "request_id _q", "latitude _qlat", "longitude _qlon")
+    left = (knn.descend(far, cells, top, ["market"], k).join(cells.filter("lv = 0"), ["market", "cx", "cy"])
+            .groupBy("_q").agg(F.sum("n").alias("n")).collect())
+    assert len(left) == 5 and all(k <= r.n <= 12 * k for r in left), left
+
+
 def test_radius_join(spark):
     rows = skewed_points(150, 9)
     df = spark.createDataFrame(rows, "listing_id string, market string, latitude double, longitude double")
