@@ -131,7 +131,7 @@ def missingness(df: DataFrame, columns: Sequence[str], top: int = 5) -> DataFram
             .orderBy(F.desc("missing_share"), "column_name").limit(top))
 
 
-def clean_model_frame(df: DataFrame, id_col: str = "listing_id") -> DataFrame:
+def clean_model_frame(df: DataFrame, id_col: str = "listing_id", also: Sequence[str] = ()) -> DataFrame:
     """Model table: distinct, one row per id, plausible target, cleaned features."""
     from brickyard.operators.dedup import first_per_key
 
@@ -139,4 +139,4 @@ def clean_model_frame(df: DataFrame, id_col: str = "listing_id") -> DataFrame:
                                               F.xxhash64(*sorted(df.columns)).asc()])
     out = binary_flags(null_impossible(target_guard(out)))
     keep = [c for c in S.MODEL_FEATURES if c in out.columns]
-    return out.select(id_col, "market", *keep, "price")
+    return out.select(id_col, "market", *keep, *also, "price")

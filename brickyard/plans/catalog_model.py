@@ -6,9 +6,13 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brickyard import schema as S
 from brickyard.operators import clean, model
-from brickyard.plans.bind import LISTINGS, listings
+from brickyard.operators.quantiles import group_medians
+from brickyard.plans import scorer
+from brickyard.plans.bind import LISTINGS, POINTS, listings
 from brickyard.plans.registry import query
+from brickyard.plans.stages import NeighbourhoodIndex
 from brickyard.session import cut
 
 L = f"WITH l AS ({LISTINGS})"
@@ -198,6 +202,96 @@ def batch_score(spark: SparkSession, sf: str) -> DataFrame:
         "listing_id", "prediction", "low", "high", "unit")
 
 
+# -- raw requests: the median property of each municipality, with gaps ---------
+_RAW = f"""
+, raw AS (SELECT concat(market, '-', refnis) AS request_id, market,
+    CASE WHEN refnis % 4 <> 0 THEN median(latitude) END AS latitude,
+    CASE WHEN refnis % 4 <> 0 THEN median(longitude) END AS longitude,
+    CASE WHEN refnis % 8 = 4 THEN 'Antwerp' WHEN refnis % 3 <> 1 THEN min(province) END AS province,
+    CASE WHEN refnis % 5 <> 0 THEN median(livable_surface) END AS livable_surface,
+    CASE WHEN refnis % 7 <> 0 THEN median(bedrooms) END AS bedrooms,
+    CASE WHEN refnis % 2 = 0 THEN 'apartment' END AS property_type,
+    CASE WHEN refnis % 9 = 0 THEN 12.5E0 END AS neighbourhood_price_index FROM l GROUP BY market, refnis)"""
+_TRAINED = _FRAME + f""", pts AS (SELECT p.* FROM ({POINTS}) p JOIN sp USING (listing_id) WHERE split = 'train')"""
+
+
+def raw_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests as callers send them: columns and values are missing."""
+    rows = listings(spark, sf)
+    names = rows.groupBy("market", "refnis").agg(F.min("province").alias("_p"))
+    m = group_medians(rows, ["market", "refnis"], {c: F.col(c) for c in (
+        "latitude", "longitude", "livable_surface", "bedrooms")}).join(names, ["market", "refnis"])
+    ref = F.col("refnis")
+    return m.select(
+        F.concat_ws("-", "market", "refnis").alias("request_id"), "market",
+        *[F.when(ref % 4 != 0, F.col(c)).alias(c) for c in ("latitude", "longitude")],
+        F.when(ref % 8 == 4, "Antwerp").when(ref % 3 != 1, F.col("_p")).alias("province"),
+        F.when(ref % 5 != 0, F.col("livable_surface")).alias("livable_surface"),
+        F.when(ref % 7 != 0, F.col("bedrooms")).alias("bedrooms"),
+        F.when(ref % 2 == 0, "apartment").alias("property_type"),
+        F.when(ref % 9 == 0, 12.5).alias("neighbourhood_price_index"))
+
+
+@query("request_matrix", _TRAINED + _RAW + f"""
+, c(province, lat, lon, creg) AS (VALUES {", ".join(f"('{p}', {a}E0, {b}E0, '{r}')" for p, a, b, r in S.PROVINCE_CENTROIDS)}),
+d AS (SELECT raw.*, coalesce(raw.province, 'Brussels') AS prov, {{dist}} AS dist, pts.price_per_sqm, pts.refnis, pts.listing_id
+  FROM raw JOIN pts ON pts.market = raw.market WHERE raw.latitude IS NOT NULL),
+r AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY dist, listing_id) <= 20),
+n AS (SELECT request_id, market, median(price_per_sqm) AS local_ppsqm, max(dist) AS radius_m,
+  arg_min(refnis, {{{{'d': dist, 'i': listing_id}}}}) AS near FROM r GROUP BY 1, 2),
+ms AS (SELECT market, refnis, avg(price_per_sqm) AS mean_ppsqm FROM pts GROUP BY 1, 2),
+nm AS (SELECT market, median(price_per_sqm) AS national FROM pts GROUP BY 1),
+v AS (SELECT request_id, n.market, CASE WHEN radius_m > 20000 THEN coalesce(mean_ppsqm, national) ELSE local_ppsqm END AS value
+  FROM n LEFT JOIN ms ON ms.market = n.market AND ms.refnis = n.near JOIN nm ON nm.market = n.market),
+pm AS (SELECT market, province, median(price_per_sqm) AS value FROM pts GROUP BY 1, 2),
+x AS (SELECT request_id, round_even(count(*) FILTER (WHERE pts.price_per_sqm <= v.value) * 100.0E0 / count(*) * 10, 0) / 10 AS pct
+  FROM v JOIN pts ON pts.market = v.market GROUP BY 1),
+y AS (SELECT pm.market, pm.province, round_even(count(*) FILTER (WHERE pts.price_per_sqm <= pm.value) * 100.0E0 / count(*) * 10, 0) / 10 AS pct
+  FROM pm JOIN pts ON pts.market = pm.market GROUP BY 1, 2)
+SELECT raw.request_id, raw.market, coalesce(raw.livable_surface, 120E0) AS livable_surface,
+  coalesce(raw.bedrooms, 2E0) AS bedrooms, 1995E0 AS build_year, coalesce(raw.latitude, c.lat, 50.85E0) AS latitude,
+  coalesce(raw.longitude, c.lon, 4.35E0) AS longitude, coalesce(raw.province, 'Brussels') AS province,
+  coalesce(c.creg, CASE WHEN raw.province IS NOT NULL THEN 'Flanders' END, 'Brussels') AS region,
+  coalesce(raw.property_type, 'house') AS property_type, 'C' AS epc, 0 AS garden,
+  coalesce(raw.neighbourhood_price_index, CASE WHEN raw.latitude IS NOT NULL THEN x.pct ELSE y.pct END, 50E0)
+    AS neighbourhood_price_index
+FROM raw LEFT JOIN c ON c.province = raw.province LEFT JOIN x ON x.request_id = raw.request_id
+LEFT JOIN y ON y.market = raw.market AND y.province = coalesce(raw.province, 'Brussels')""".replace(
+    "{dist}", "2 * 6371000E0 * asin(least(1E0, sqrt(pow(sin(radians(pts.latitude - raw.latitude) / 2), 2)"
+    " + cos(radians(raw.latitude)) * cos(radians(pts.latitude))"
+    " * pow(sin(radians(pts.longitude - raw.longitude) / 2), 2))))").replace("{{", "{").replace("}}", "}"))
+def request_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature matrix of raw requests: defaults, geography and the training split's price index."""
+    index = NeighbourhoodIndex().fit(scorer.training_rows(listings(spark, sf)).filter("split = 'train'"))
+    return scorer.Scorer(index, {}).prepare(raw_requests(spark, sf)).select(
+        "request_id", "market", "livable_surface", "bedrooms", "build_year", "latitude", "longitude", "province",
+        "region", "property_type", "epc", "garden", "neighbourhood_price_index")
+
+
+_BOTH = _FRAME + """, q AS (SELECT market, quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM sp
+  WHERE split = 'train' GROUP BY 1),
+t AS (SELECT sp.market, price AS y, livable_surface AS a, cast(bedrooms AS double) AS b
+  FROM sp JOIN q ON q.market = sp.market WHERE split = 'train' AND price BETWEEN lo AND hi),
+c AS (SELECT market, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, var_pop(a) AS aa, var_pop(b) AS bb,
+  covar_pop(a, b) AS ab, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM t GROUP BY 1),
+w AS (SELECT market, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb,
+  ma, mb, my FROM c),
+e AS (SELECT sp.market, avg(abs(price - (my + wa * (livable_surface - ma) + wb * (bedrooms - mb)))) AS mae
+  FROM sp JOIN w ON w.market = sp.market WHERE split = 'test' GROUP BY 1)"""
+
+
+@query("score_requests", _BOTH + _RAW + """
+, z AS (SELECT request_id, raw.market, mae, round_even(greatest(0E0, my + wa * (coalesce(livable_surface, 120E0) - ma)
+  + wb * (coalesce(bedrooms, 2E0) - mb)) * 100, 0) / 100 AS p FROM raw JOIN w ON w.market = raw.market JOIN e ON e.market = raw.market)
+SELECT request_id, market, p AS prediction, round_even(greatest(0E0, p - mae) * 100, 0) / 100 AS low,
+  round_even((p + mae) * 100, 0) / 100 AS high, CASE market WHEN 'rent' THEN 'per month' ELSE 'total' END AS unit FROM z""")
+def score_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One job from raw requests of both markets to predictions; linear models of two numbers."""
+    fitted = scorer.train(listings(spark, sf), lambda: LinearRegression(labelCol="price", solver="normal"),
+                          numeric=["livable_surface", "bedrooms"], categorical=[], flags=[])
+    return fitted.score(raw_requests(spark, sf))
+
+
 @query("train_models")
 def train_models(spark: SparkSession, sf: str) -> DataFrame:
     """Test metrics of the four regressors per market, with small ensembles."""
