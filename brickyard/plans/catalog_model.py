@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickyard import schema as S
-from brickyard.operators import clean, model
+from brickyard.operators import attribution, clean, model
 from brickyard.operators.quantiles import group_medians
 from brickyard.plans import scorer
 from brickyard.plans.bind import LISTINGS, POINTS, listings
@@ -292,22 +293,44 @@ def score_requests(spark: SparkSession, sf: str) -> DataFrame:
     return fitted.score(raw_requests(spark, sf))
 
 
+# Declared sizes of the registered ensembles: forest trees and depth, boosting rounds and depth.
+TRAIN_SIZES = (20, 10, 15, 5)
+
+
 @query("train_models")
 def train_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Test metrics of the four regressors per market, with small ensembles."""
-    numeric, categorical = ["livable_surface", "bedrooms", "latitude", "longitude"], ["property_type",
-                                                                                      "province"]
-    data = cut(model.trim_outliers(model.hash_split(_frame(spark, sf))))
-    out = None
-    for market in ("sale", "rent"):
-        rows = data.filter(F.col("market") == market)
-        train = rows.filter("split = 'train'")
-        fitted = model.fit_scaling(train, numeric)
-        ready = model.prepare(rows, numeric, categorical, [], fitted)
-        for name, est in model.regressors(10, 5, 5, 4).items():
-            m = model.train_pipeline(ready.filter("split = 'train'"), numeric, categorical, [], est)
-            scored = m.transform(ready.filter("split = 'test'")).select(
+    """Test metrics of the four regressors per market over the whole feature contract."""
+    _, rows = scorer.with_index(cut(scorer.training_rows(listings(spark, sf))))
+    rows, out = cut(model.trim_outliers(rows)), None
+    for market in S.MARKETS:
+        own = rows.filter(F.col("market") == market)
+        for name, est in model.regressors(*TRAIN_SIZES).items():
+            fitted = scorer.fitted(own.filter("split = 'train'"), est)
+            scored = fitted.transform(own.filter("split = 'test'")).select(
                 "market", F.lit(name).alias("algorithm"), "price", "prediction")
             res = model.regression_metrics(scored, ["market", "algorithm"])
             out = res if out is None else out.unionByName(res)
     return out
+
+
+def _forest(spark: SparkSession, sf: str):
+    """Sale listings and a forest fitted on them."""
+    rows = cut(scorer.training_rows(listings(spark, sf)).filter("market = 'sale'"))
+    numeric, categorical = ["livable_surface", "bedrooms", "latitude", "longitude"], ["property_type", "province"]
+    est = model.regressors(forest_trees=5, forest_depth=6)["random_forest"]
+    return rows, scorer.fitted(rows, est, numeric, categorical, ["garden"]), numeric, categorical
+
+
+@query("attribution_trees")
+def attribution_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """What each feature moved a forest's prediction by, for every sale listing."""
+    rows, forest, *_ = _forest(spark, sf)
+    return attribution.pipeline_attribution(rows, forest)
+
+
+@query("forest_importances")
+def forest_importances(spark: SparkSession, sf: str) -> DataFrame:
+    """Importances of a fitted forest, summed back to raw features."""
+    _, forest, numeric, categorical = _forest(spark, sf)
+    encoder = PipelineModel(stages=forest.stages[1:])
+    return model.importance_rollup(model.fitted_importances(encoder, "sale", numeric, categorical, ["garden"]))

@@ -89,3 +89,27 @@ def test_whole_contract_is_trained_on(trained):
     assert stages[0].getOrDefault("numeric") == S.MODEL_NUMERIC
     assert stages[0].getOrDefault("categorical") == S.MODEL_CATEGORICAL and stages[0].getOrDefault("flags") == S.FLAGS
     assert trained.metrics["sale"]["r2"] > 0.3 and set(trained.models) == {"sale", "rent"}
+
+
+@pytest.mark.parametrize("kind", ["tree", "forest", "boosted"])
+def test_contributions_add_up_to_the_prediction(spark, listings, kind):
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    from brickyard.operators import attribution
+    from pyspark.ml import Pipeline
+
+    estimator = {"tree": DecisionTreeRegressor(labelCol="price", maxDepth=4),
+                 "forest": RandomForestRegressor(labelCol="price", numTrees=4, maxDepth=4, seed=2),
+                 "boosted": GBTRegressor(labelCol="price", maxIter=4, maxDepth=3, stepSize=0.2, seed=2)}[kind]
+    rows = scorer.training_rows(listings).filter("market = 'sale'")
+    names = ["livable_surface", "bedrooms", "latitude"], ["property_type", "epc"], ["garden"]
+    fitted = Pipeline(stages=[scorer.Preparation(numeric=names[0], categorical=names[1], flags=names[2]),
+                              *model.encoder(names[1], [*names[0], *names[2]]), estimator]).fit(rows)
+    out = attribution.pipeline_attribution(rows, fitted)
+    sums = out.groupBy("listing_id").agg(F.sum("contribution").alias("c"), F.first("base_value").alias("b"),
+                                         F.first("prediction").alias("p")).collect()
+    assert len(sums) == rows.count()
+    assert all(abs(r.b + r.c - r.p) <= 1e-6 * max(1.0, abs(r.p)) for r in sums)
+    assert {r.feature for r in out.select("feature").distinct().collect()} <= {n for g in names for n in g}
+    top = model.top_drivers(out, top=2)
+    assert top.groupBy("listing_id").count().agg(F.max("count")).first()[0] <= 2
