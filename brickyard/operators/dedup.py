@@ -70,7 +70,8 @@ def blocking_key(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def _with_block(df: DataFrame, within: Sequence[str], isolate_null_keys: bool) -> DataFrame:
+def block_of(df: DataFrame, within: Sequence[str] = ("market",), isolate_null_keys: bool = False) -> Column:
+    """The block of a listing as one text; duplicates are only looked for inside a block."""
     parts = blocking_key(df)
     pieces = [F.coalesce(c.cast("string"), F.lit("")) for c in
               [*(F.col(w) for w in within), *parts.values()]]
@@ -78,6 +79,11 @@ def _with_block(df: DataFrame, within: Sequence[str], isolate_null_keys: bool) -
     if isolate_null_keys:
         blank = (parts["block_postal"] == "") | (parts["block_street"] == "")
         block = F.when(blank, F.concat(F.lit("\x1e"), F.col("listing_id"))).otherwise(block)
+    return block
+
+
+def _with_block(df: DataFrame, within: Sequence[str], isolate_null_keys: bool) -> DataFrame:
+    block = block_of(df, within, isolate_null_keys)
     price = F.col("price").cast("double")
     located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     return df.withColumns({"_block": block, "_p": F.when(price > 0, price),
