@@ -8,7 +8,8 @@ signs of the original. Equal values get equal pseudonyms in every document; the
 it. What fails its check stays as it is.
 
 - card: the first digit stays, the others are permuted, the check digit is made anew;
-- phone: the country code stays, the other digits are permuted;
+- phone: the country calling code stays, the other digits are permuted; (ddd) ddd-dddd and
+  ddd-ddd-dddd are numbers without a code;
 - address: the 32 bits are permuted; - social security: valid numbers among themselves;
 - date (y-m-d, d.m.y, d/m/y): days among the days of the same century.
 
@@ -29,7 +30,7 @@ PATTERNS = {
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}",
     "address": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"\+[0-9]{1,3}(?:[ -]?\(?[0-9]{2,4}\)?){2,4}",
+    "phone": r"\+[0-9]{1,3}[ -]?\(?[0-9]{1,4}\)?(?:[ -]?\(?[0-9]{2,4}\)?){1,3}|\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
 }
 ANY = _EDGE + "(?:" + "|".join(p.replace(r"([./])", "[./]").replace(r"\1", "[./]")
@@ -107,10 +108,18 @@ def _card(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
     return _luhn(d, 0) % 10 == 0, _refill(m, F.concat(body, check))
 
 
+# Country calling codes of one and of two digits; all others have three.
+_CODE_1, _CODE_2 = r"^\+[17]", r"^\+(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+
+
 def _phone(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
-    head = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
-    head = F.when(head == "", F.substring(m, 1, 3)).otherwise(head)
-    rest = F.substring(m, F.length(head) + 1, F.length(m))
+    """The code is told by its digits alone, so a number's spellings share their national digits.
+
+    A number without a code is the national number of its ten digits.
+    """
+    code = F.when(~m.startswith("+"), 0).when(m.rlike(_CODE_1), 2).when(m.rlike(_CODE_2), 3).otherwise(4)
+    head = F.substring(m, F.lit(1), code)
+    rest = F.substring(m, code + 1, F.length(m))
     d = _digits(rest)
     return (F.length(d).between(6, 14),
             F.concat(head, _refill(rest, _permuted_digits(d, key, "phone", undo))))
