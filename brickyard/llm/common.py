@@ -6,10 +6,13 @@ import contextlib
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from brickyard.session import new_path
 
+REPEATS = 4  # rows of one labelled id that a model is fitted on
+
 _SCOPES: list[list[str]] = [[]]
 
 
@@ -66,3 +69,8 @@ def parts(total: float, each: float, least: int = 1) -> int:
     """Partitions so that each holds about ``each`` of ``total``."""
     return max(least, math.ceil((total or 0) / each))
 
+
+def at_most(rows: DataFrame, each: int) -> DataFrame:
+    """At most ``each`` rows per ``_id`` by hash order of ``_text``, kept before the shuffle."""
+    order = Window.partitionBy("_id").orderBy(F.xxhash64("_text"))
+    return rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= each).drop("_rn")

@@ -7,9 +7,10 @@ label 1. The curve's second input is how far the sizes fall below a quarter of t
 text that repeats itself both sizes vanish, and with them their difference. Blocks keep a
 dictionary's influence the same along a long text, and whole texts are read.
 
-Bounds: ``DICTIONARY_ROWS`` labelled rows of each class for the dictionaries and
-``CALIBRATION_ROWS`` of each for the curve, taken by hash order of the id, their texts up to
-``FIT_CHARS`` characters. Everything else covers all rows.
+Bounds: ``DICTIONARY_ROWS`` labelled ids of each class for the dictionaries and
+``CALIBRATION_ROWS`` of each for the curve, taken by hash order of the id, ``REPEATS`` rows of
+an id at most. A dictionary takes ``BLOCKS`` blocks of a text, spread evenly over all of it; the
+curve's inputs are those of whole texts, computed in tasks. Everything else covers all rows.
 
 Defined results: null, empty or white text has difference 0 and gets the curve's value there.
 Without labelled rows of both classes every score is the share of good labels (0.5 without
@@ -29,9 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.llm.common import REPEATS, at_most
+
 DICTIONARY_ROWS = 2000
 CALIBRATION_ROWS = 2000
-FIT_CHARS = 20_000
+BLOCKS = 10            # of a text, for a dictionary
 DICTIONARY_BYTES = 64 << 10
 BLOCK = 2048
 LEVEL = 3
@@ -79,10 +82,16 @@ class Sizes:
         return (bad - good) / (bad + good), min(0.0, math.log(2 * (good + bad) / len(raw)))
 
 
-def _dictionary(texts: list[str]) -> bytes:
+def _blocks(text: str | None) -> list[bytes]:
+    """At most ``BLOCKS`` blocks of a text, evenly spread from its beginning to its end."""
+    raw = " ".join((text or "").split()).encode()
+    starts = range(0, len(raw), BLOCK)
+    some = sorted({round(i) for i in np.linspace(0, len(starts) - 1, min(BLOCKS, len(starts)))})
+    return [raw[starts[i]:starts[i] + BLOCK] for i in some]
+
+
+def _dictionary(blocks: list[bytes]) -> bytes:
     """A trained dictionary, or the raw text where there is too little to train on."""
-    raw = [" ".join(t.split()).encode() for t in texts]
-    blocks = [r[i:i + BLOCK] for r in raw for i in range(0, len(r), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blocks, k=200, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -124,19 +133,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             some = (clean.filter((F.col("_y") == y) & folds).orderBy("_order", "_id").limit(rows)
                     .select("_id", "_y", (F.col("_fold") == 4).alias("_curve")))
             picked = some if picked is None else picked.unionByName(some)
-    rows = (docs.select(F.col(id_col).alias("_id"), F.substring(text_col, 1, FIT_CHARS).alias("_text"))
-            .join(F.broadcast(picked), "_id").filter("_text IS NOT NULL")
-            .select("_id", "_y", "_curve", "_text").toPandas().sort_values(["_id", "_text"]))
-    for_dictionary = rows[~rows["_curve"]]
-    model = Model(*(_dictionary(for_dictionary["_text"][for_dictionary["_y"] == y].tolist())
-                    for y in (1, 0)))
-    known = rows[rows["_curve"]] if rows[rows["_curve"]]["_y"].nunique() == 2 else rows
-    y = known["_y"].to_numpy(float)
+    rows = at_most(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+                   .join(F.broadcast(picked), "_id").filter("_text IS NOT NULL"), REPEATS)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("_y"),
+                 pa.array([_blocks(t.as_py()) for t in batch.column("_text")], pa.list_(pa.binary()))],
+                names=["id", "y", "blocks"])
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("_id", "_y")}
+    held = (rows.filter("NOT _curve").select("_id", "_y", "_text")
+            .mapInArrow(cut, f"id {kinds['_id']}, y {kinds['_y']}, blocks array<binary>").collect())
+    held.sort(key=lambda r: (r.id, r.blocks))
+    model = Model(*(_dictionary([b for r in held if r.y == y for b in r.blocks]) for y in (1, 0)))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = model.sizes()
+        for batch in batches:
+            x = np.array([sizes.inputs(t.as_py()) for t in batch.column("_text")]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("_y"), batch.column("_curve"), pa.array(x[:, 0]), pa.array(x[:, 1])],
+                names=["id", "y", "curve", "x0", "x1"])
+
+    def inputs(some: DataFrame):
+        return some.select("_id", "_y", "_curve", "_text").mapInArrow(
+            measured, f"id {kinds['_id']}, y {kinds['_y']}, curve boolean, x0 double, x1 double"
+        ).toPandas().sort_values(["id", "x0", "x1"])
+
+    known = inputs(rows.filter("_curve"))
+    if known["y"].nunique() < 2:
+        known = inputs(rows)
+    y = known["y"].to_numpy(float)
     if len(set(y)) < 2:
         model.shift = 0.0 if not len(y) else (10.0 if y[0] else -10.0)
         return model
-    sizes = model.sizes()
-    x = np.array([sizes.inputs(t) for t in known["_text"]])
+    x = known[["x0", "x1"]].to_numpy(float)
     model.weights, model.center, model.shift = _curve(x, y)
     # The classes were drawn evenly up to their bounds; the shift follows their true shares.
     share = clean.agg(F.avg("_y")).first()[0]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickyard.llm import words as W
-from brickyard.llm.common import fresh
+from brickyard.llm.common import REPEATS, at_most, fresh, stage
 
 FIT_ROWS = 4000       # labelled rows of each class
 GRADES = 3
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = [clean.filter(F.col("_y") == y).orderBy(*order).limit(FIT_ROWS).select("_id", "_y")
               for y in (0, 1)]
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = own.join(F.broadcast(picked[0].unionByName(picked[1])), "_id")
+    rows = stage(at_most(own.join(F.broadcast(picked[0].unionByName(picked[1])), "_id"), REPEATS), "toxicity-rows")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -359,35 +359,64 @@ def test_packing_repeated_rows(spark):
     assert sum(r.length for r in rows) == 2 * 2 + 1
 
 
-def test_bm25_prefers_shared_rare_terms():
-    docs = [np.array(x) for x in ([1, 2, 3], [1, 2, 9], [1, 8, 9], [7, 7, 7])]
-    idf = np.log1p(np.array([0, 3, 2, 1, 0, 0, 0, 1, 1, 2], float) * -1 + 5)
-    scores = packing.Shard(docs, idf, 3.0).scores(0)
-    assert scores[1] > scores[2] > scores[3] == 0
+def test_bm25_weights_prefer_rare_and_frequent_words():
+    w = packing.weights(np.array([1, 1, 5, 1]), np.array([2, 900, 2, 2]), np.array([10, 10, 10, 90]), 1000, 10.0)
+    assert w[2] > w[0] > w[3] > w[1] > 0
 
 
-def test_packing_neighbours_are_exact_over_all_blocks(spark):
+def test_packing_lists_equal_brute_force_over_telling_words(spark):
     path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(8)
     words = [a + b for a in ("tree", "sea", "Zug", "moon", "rock") for b in ("", "s", "x", "ing", "berg", "en")]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice((3, 20, 90))))) for i in range(90)]
     rows += [(90 + i, rows[0][1]) for i in range(5)]
     docs = packing.tokenized(frame(spark, rows), path)
-    ids = {r.row: np.frombuffer(r.ids, "<u2") for r in docs.collect()}
-    seen = packing.document_counts(docs, np.dtype("<u2"), 1 << 16)
-    idf = np.log1p((len(rows) - seen + 0.5) / (seen + 0.5)).astype(np.float32)
-    mean = sum(map(len, ids.values())) / len(ids)
-    index = packing.build_index(docs, spark.sparkContext.broadcast(idf), mean, np.dtype("<u2"), 1 << 16, 2048,
-                                6, shard_docs=7)
-    heads = sorted(index.collect(), key=lambda r: r.block)
-    order = np.concatenate([np.frombuffer(r.rows, np.int64) for r in heads])
-    base = dict(zip([r.block for r in heads], np.cumsum([0] + [r.docs for r in heads])))
-    whole = packing.Shard([ids[r] for r in order], idf, mean)
-    whole.weight = np.rint(whole.weight * packing.STEPS)
-    n = len(order)
-    for r in packing.neighbours(index, base, n, 6).collect():
-        score = whole.scores(r.seed)
-        want = sorted((-score[d], (d - r.seed) % n, d) for d in range(n) if d != r.seed and score[d] > 0)[:6]
-        assert list(packing.places(np.array(r["keys"]), r.seed, n)) == [d for _, _, d in want]
+    held = [r for r in docs.filter("range IS NULL").collect()]
+    terms = {r.row: dict(zip(np.frombuffer(r.words, np.uint32).tolist(), np.frombuffer(r.times, np.uint8).tolist())) for r in held}
+    size, n = {r.row: r.n_tokens for r in held}, len(held)
+    seen = packing.document_counts(docs)
+    for word in {w for t in terms.values() for w in t}:
+        assert seen[word & (packing.CELLS - 1)] >= sum(word in t for t in terms.values())
+    mean = sum(size.values()) / n
+    index = packing.postings(docs, spark.sparkContext.broadcast(seen), n, mean)
+    weight = {}
+    for r in index.collect():
+        assert abs(r.weight - packing.weights(np.array([terms[r.row][r.word]]), np.array([seen[r.word % packing.CELLS]]),
+                                              np.array([size[r.row]]), n, mean)[0]) < 1e-4
+        weight.setdefault(r.row, {})[r.word] = r.weight
+    assert all(len(w) <= packing.TERMS for w in weight.values())
+    got = {r.seed: r.near for r in packing.neighbours(index, 6, near=200, run_length=200).collect()}
+    for row in terms:
+        score = {d: sum(weight[d][w] for w in weight.get(row, {}) if w in weight[d]) for d in weight if d != row}
+        best = sorted((-round(s, 3), d) for d, s in score.items() if s > 0)[:6]
+        assert [-round(score[d], 3) for d in got.get(row, [])] == [s for s, _ in best]
+
+
+def test_packing_cuts_a_hot_word_into_runs(spark):
+    """A word that all documents have makes as many pairs as there are places, not their square."""
+    sizes = []
+    for n in (400, 1600):
+        index = spark.range(n).selectExpr("7L AS word", "id AS row", "cast(1 AS float) AS weight")
+        lists = packing.neighbours(index).collect()
+        assert all(packing.NEAR <= len(r.near) <= 2 * packing.NEAR for r in lists) and len(lists) == n
+        sizes.append(sum(len(r.near) for r in lists))
+    assert sizes[1] < 4.2 * sizes[0]
+
+
+def test_packing_in_many_shards_loses_no_id(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, f"word{i % 5} and {i} " * (i % 90)) for i in range(200)]
+    got = packing.pack(frame(spark, rows), path, length=256, shard_docs=30).collect()
+    size = {}
+    for r in got:
+        size[r.doc_id] = size.get(r.doc_id, 0) + r.length
+        assert r.doc_tokens >= r.start + r.length
+    assert all(size[r.doc_id] == r.doc_tokens for r in got) and len(size) == 200
+    spans = {}
+    for r in got:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in spans.values():
+        ends = [o + n for o, n in sorted(s)]
+        assert [o for o, _ in sorted(s)] == [0, *ends[:-1]] and (ends[-1] & (ends[-1] - 1)) == 0
 
 
 def test_packing_finds_neighbours_beyond_512_documents(spark):
@@ -449,6 +478,21 @@ def test_unigram_ties_and_unknowns():
     assert v.count("aéb")[0] == 4
 
 
+def test_quality_reads_whole_texts_and_bounds_repeats(spark):
+    blocks = quality._blocks("a" * 3_000_000 + " end")
+    assert len(blocks) == quality.BLOCKS and blocks[-1].endswith(b" end")
+    rng = random.Random(4)
+    good = [" ".join(rng.choice(("river", "stone", "cloud", "lamp")) for _ in range(80)) for _ in range(40)]
+    bad = ["click here buy now " * 20 + str(rng.random()) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(3, good[3] + f" {i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i < 40), int(i >= 40)) for i in range(80)],
+                                   "doc_id bigint, quality int, toxic int")
+    docs = frame(spark, rows)
+    assert quality.at_most(docs.selectExpr("doc_id AS _id", "text AS _text"), 4).filter("_id = 3").count() == 4
+    got = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
+    assert sum((got[i] >= 0.5) == (i < 40) for i in range(80)) >= 70
+
+
 # Pseudonyms
 
 def test_pseudonyms_round_trip_and_link(spark):
@@ -475,6 +519,20 @@ def test_pseudonyms_round_trip_and_link(spark):
     assert pseudonyms.pseudonymised(empty(spark), "k").count() == 0
 
 
+def test_one_phone_number_in_six_spellings_has_one_pseudonym(spark):
+    forms = ["+1 988 555 2485", "+19885552485", "+1 (988) 555-2485", "+1-988-555-2485", "(988) 555-2485", "988-555-2485"]
+    other = ["+32 2 555 24 85", "+3225552485", "+352 621 555 248", "+352621555248"]
+    docs = frame(spark, [(i, f"call {f} now") for i, f in enumerate(forms + other)])
+    got = [r.text[5:-4] for r in pseudonyms.pseudonymised(docs, "k").orderBy("doc_id").collect()]
+    digits = [re.sub("[^0-9]", "", t)[-10:] for t in got[:6]]
+    assert len(set(digits)) == 1 and digits[0] != "9885552485"
+    assert all(re.sub("[0-9]", "9", a) == re.sub("[0-9]", "9", b) for a, b in zip(got, forms + other))
+    plain = [re.sub("[^0-9]", "", t) for t in got[6:]]
+    assert plain[0] == plain[1] != "3225552485" and plain[2] == plain[3] and plain[2].startswith("352")
+    back = pseudonyms.pseudonymised(pseudonyms.pseudonymised(docs, "k"), "k", undo=True).orderBy("doc_id").collect()
+    assert [r.text[5:-4] for r in back] == forms + other
+
+
 def test_pseudonyms_permute_a_whole_domain(spark):
     rows = [(i, f"{i // 99 + 1:03d}-{i % 99 + 1:02d}-0001") for i in range(0, 898 * 99, 37)]
     rows = [r for r in rows if not r[1].startswith("666")]
