@@ -113,3 +113,39 @@ def test_contributions_add_up_to_the_prediction(spark, listings, kind):
     assert {r.feature for r in out.select("feature").distinct().collect()} <= {n for g in names for n in g}
     top = model.top_drivers(out, top=2)
     assert top.groupBy("listing_id").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_search_ranks_the_seeded_draws_the_same_twice(spark, listings):
+    from pyspark.ml import Pipeline
+
+    from brickyard.operators import search
+
+    rows = scorer.training_rows(listings).filter("market = 'sale'")
+    stages = [scorer.Preparation(numeric=["livable_surface", "bedrooms"], categorical=["property_type"], flags=[]),
+              *model.encoder(["property_type"], ["livable_surface", "bedrooms"])]
+    folds = search.search_folds(Pipeline(stages=stages).fit(rows).transform(rows))
+    assert folds.count() == rows.count()
+    est, space = model.regressors()["decision_tree"], model.search_space("decision_tree", 40)
+    rungs = ((0.3, 1, 1.0), (1.0, 2, 1.0))
+    one, two = (search.successive_halving("decision_tree", est, folds, space, rungs=rungs, keep=0.1).collect()
+                for _ in range(2))
+    assert one == two and len(one) == 40 and sorted(r.position for r in one) == list(range(1, 41))
+    best = min(one, key=lambda r: r.position)
+    assert best.rung == 1 and best.score > 0.3 and best.spatial_score is not None
+    assert sum(r.rung == 1 for r in one) == 4 and all(r.params for r in one)
+
+
+@pytest.mark.parametrize("algorithm", ["linear_regression", "random_forest", "boosted_trees"])
+def test_search_covers_the_other_algorithms(spark, listings, algorithm):
+    from pyspark.ml import Pipeline
+
+    from brickyard.operators import search
+
+    rows = scorer.training_rows(listings).filter("market = 'sale'")
+    stages = [scorer.Preparation(numeric=["livable_surface", "bedrooms"], categorical=[], flags=[]),
+              *model.encoder([], ["livable_surface", "bedrooms"])]
+    folds = search.search_folds(Pipeline(stages=stages).fit(rows).transform(rows))
+    space = [{**p, **({"maxDepth": 3} if "maxDepth" in p else {})} for p in model.search_space(algorithm, 3)[:3]]
+    got = search.successive_halving(algorithm, model.regressors()[algorithm], folds, space,
+                                    rungs=((0.5, 1, 0.005), (1.0, 1, 0.01)), keep=0.4).collect()
+    assert len(got) == 3 and min(got, key=lambda r: r.position).spatial_score is not None
