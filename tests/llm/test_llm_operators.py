@@ -375,12 +375,12 @@ def test_packing_lists_equal_brute_force_over_telling_words(spark):
     size, n = {r.row: r.n_tokens for r in held}, len(held)
     seen = packing.document_counts(docs)
     for word in {w for t in terms.values() for w in t}:
-        assert seen[word & (packing.CELLS - 1)] >= sum(word in t for t in terms.values())
+        assert packing.seen_in(seen, np.array([word], np.uint32))[0] >= sum(word in t for t in terms.values())
     mean = sum(size.values()) / n
     index = packing.postings(docs, spark.sparkContext.broadcast(seen), n, mean)
     weight = {}
     for r in index.collect():
-        assert abs(r.weight - packing.weights(np.array([terms[r.row][r.word]]), np.array([seen[r.word % packing.CELLS]]),
+        assert abs(r.weight - packing.weights(np.array([terms[r.row][r.word]]), packing.seen_in(seen, np.array([r.word], np.uint32)),
                                               np.array([size[r.row]]), n, mean)[0]) < 1e-4
         weight.setdefault(r.row, {})[r.word] = r.weight
     assert all(len(w) <= packing.TERMS for w in weight.values())
@@ -622,6 +622,60 @@ def test_viterbi_equals_every_path():
     assert tuple(field.decode(x)) == max(itertools.product(range(3), repeat=5), key=value)
 
 
+def test_viterbi_of_many_chains_equals_each_alone():
+    rng = np.random.default_rng(3)
+    step = rng.normal(size=(3, 3))
+    length = np.array([4, 1, 7, 7, 2, 30])
+    score = rng.normal(size=(length.sum(), 3))
+    every = secrets.viterbi(score, length, step)
+    first = np.cumsum(length) - length
+    for a, n in zip(first, length):
+        assert (secrets.viterbi(score[a:a + n], np.array([n]), step) == every[a:a + n]).all()
+
+
+def test_reader_equals_features_and_decoder_line_by_line():
+    """Whole batches against one line at a time: words, signs, cues, glue, lines, accents, empty texts."""
+    rng, random_ = np.random.default_rng(5), random.Random(5)
+    field = secrets.Field(rng.normal(size=(secrets.SPACE, 3)), rng.normal(size=(3, 3)))
+    field.step[0, 2] = -1e4
+    parts = ["password", "=", "\"", "abc", "Zug9", "é", "«x»", "a.b/c+d-", "==", "pwd:", "K3y==", "—", ";", "\t", " ", "\n",
+             "token", "a=", "b==c", "....", "1234567890", "ÀB", "\U0001f600", "x_y", "\n\n", "-", "pw"]
+    texts = ["", " ", "\n"] + ["".join(random_.choice(parts) + random_.choice(["", " "]) for _ in range(random_.randrange(60)))
+                              for _ in range(120)]
+    reader, got = secrets.Reader(field), {}
+    for at, data, offsets in W.texts(pa.array(texts), 400):
+        for row, a, b in reader.spans(data, offsets):
+            got.setdefault(at + row, []).append((a, b))
+    for i, text in enumerate(texts):
+        want, start = [], 0
+        for line in text.split("\n"):
+            found = secrets.tokens(line)
+            if found:
+                for (a, b), state in zip(found, field.decode(secrets.hashed(secrets.features(line, found)))):
+                    if state == 1:
+                        want.append((start + a, start + b))
+                    elif state == 2:
+                        want[-1] = (want[-1][0], start + b)
+            start += len(line) + 1
+        assert got.get(i, []) == want, text
+
+
+def test_secret_tokens():
+    for text, want in [("a.b/c- d", ["a.b/c", "-", "d"]), ("key==", ["key=="]), ("k=v k= k==v k===", ["k", "=", "v", "k=", "k", "=", "=", "v", "k", "=", "=", "="]),
+                       ("«é» — x", ["«", "é", "»", "—", "x"]), ("", []), ("+1.", ["+", "1", "."]), ("a\nb=", ["a", "b="])]:
+        assert [text[a:b] for a, b in secrets.tokens(text)] == want, text
+
+
+def test_secret_field_defined_results(spark):
+    rng = random.Random(4)
+    rows = [(i, f"some words before token = \"{rng.randrange(16**20, 16**21):x}\" and after") for i in range(60)]
+    field = secrets.fit(frame(spark, rows))
+    docs = frame(spark, [(1, None), (1, ""), (None, "token = abc123def456"), (2, LONG), (2, "x" * 300_000), (3, "= " * 50_000)])
+    got = secrets.scan(docs, field).collect()
+    assert len(got) == 6 and [r.n_assign for r in got if r.doc_id is None] == [1]
+    assert all(r.spans == "" for r in got if r.doc_id == 1)
+
+
 # Toxicity and quality
 
 def _labelled(n=300):
