@@ -17,8 +17,12 @@ from brickyard.plans.stages import NeighbourhoodIndex
 from brickyard.session import cut
 
 L = f"WITH l AS ({LISTINGS})"
-_FRAME = L + """, f AS (SELECT * FROM l WHERE (market = 'sale' AND price BETWEEN 25000 AND 5000000)
-  OR (market = 'rent' AND price BETWEEN 200 AND 12000)),
+_GUARD = """(market = 'sale' AND price BETWEEN 25000 AND 5000000)
+  OR (market = 'rent' AND price BETWEEN 200 AND 12000)"""
+# one row per id: the first in time, then the cheapest
+_FRAME = L + f""", u AS (SELECT * FROM l
+  QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY scraped_at NULLS LAST, price NULLS LAST) = 1),
+f AS (SELECT * FROM u WHERE {_GUARD}),
 sp AS (SELECT *, CASE WHEN cast(concat('0x', substr(md5(listing_id), 1, 8)) AS BIGINT) % 100 < 20
   THEN 'test' ELSE 'train' END AS split FROM f)"""
 
@@ -78,7 +82,7 @@ def spatial_folds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- evaluation: two simple predictors, the mean by type and by municipality ---
-_PRED = _FRAME + """, p AS (
+_PRED = L + f", f AS (SELECT * FROM l WHERE {_GUARD})" + """, p AS (
   SELECT listing_id, market, 'by_type' AS algorithm, price, avg(price) OVER (PARTITION BY market, property_type) AS prediction FROM f
   UNION ALL SELECT listing_id, market, 'by_place', price, avg(price) OVER (PARTITION BY market, province) FROM f),
 m AS (SELECT market, algorithm, count(*) AS n, 1 - avg((price - prediction) * (price - prediction)) / var_pop(price) AS r2,
