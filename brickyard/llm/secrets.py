@@ -15,6 +15,7 @@ left to the pattern. Rows that repeat an id are scanned one by one. Spans count
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -23,15 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.llm import words as W
 from brickyard.llm.common import stage
 
 FIT_DOCS = 20_000
 FIT_CHAINS = 3_000
 CHAIN = 24            # tokens of a chain to fit on
-FORGET = 200_000      # remembered scores of a task
+FORGET = 500_000      # words whose scores a task remembers
+SLICE = 1 << 21       # bytes of text decoded at once
 SPACE = 1 << 13       # hashed features
 STEPS = 150
 KINDS = ("assign", "access", "hex", "field")
@@ -42,8 +46,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-TOKEN = re.compile(r"""\w(?:[\w+/.-]*\w)?(?:={1,2}(?![\w"'=]))?|\S""")
+# Kinds of bytes: white space, letters and digits, signs inside words, other signs, their tails.
+_SPACE, _WORD, _JOIN, _SIGN, _TAIL = range(5)
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = _WORD
+_KIND[[ord(c) for c in "+/.-"]] = _JOIN
+_KIND[[32, *range(9, 14), *range(28, 32)]] = _SPACE
+_VALUE = _KIND == _WORD
+_VALUE[[ord(c) for c in "\"'="]] = True
 LINE = re.compile(r"[^\n]+")
+WORD_FEATURES = ("word", "prev", "prevb", "next")
+_LOW = {c: c + 32 for c in range(65, 91)}
 CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "passphrase")
 
 Span = tuple[int, int, str]
@@ -68,25 +81,101 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def tokens(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
-    """Spans of all words and signs between ``start`` and ``end``."""
-    return [m.span() for m in TOKEN.finditer(text, start, len(text) if end is None else end)]
+def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans of all words and signs of UTF-8 texts, in order.
+
+    A word runs from a letter, digit or underscore to the last one before anything but those and
+    the signs ``+ / . -``, with one or two closing ``=``. Characters beyond ASCII are letters,
+    but for the signs of Latin-1 and general punctuation; any other sign stands alone.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    for lead, size, rest in ((0xC2, 2, None), (0xE2, 3, (0x80, 0x81))):
+        at = np.flatnonzero(data == lead)
+        at = at[at + size <= n]
+        if rest is not None:
+            at = at[np.isin(data[at + 1], rest)]
+        kind[at] = _SIGN
+        for i in range(1, size):
+            kind[at + i] = _TAIL
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    run = (kind == _WORD) | (kind == _JOIN)
+    first = run.copy()
+    first[1:] &= ~run[:-1] | edge[1:-1]
+    last = run.copy()
+    last[:-1] &= ~run[1:] | edge[1:-1]
+    begin, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    letters = np.concatenate(([0], np.cumsum(kind == _WORD)))
+    some = letters[stop] > letters[begin]
+    begin, stop = begin[some], stop[some]
+    place = np.flatnonzero(kind == _WORD)
+    start = place[letters[begin]] if len(begin) else begin
+    end = place[letters[stop] - 1] + 1 if len(begin) else stop
+    # one or two closing "=" belong to the word they touch, where nothing of a value follows
+    upto = offsets[np.searchsorted(offsets, start, "right")] if len(start) else start
+    pad = np.concatenate((data, np.zeros(3, np.uint8)))
+    ahead = [np.where(end + i < upto, pad[end + i], 0) for i in range(3)]
+    one, two = ahead[0] == 61, (ahead[0] == 61) & (ahead[1] == 61)
+    end = end + np.where(two & ~_VALUE[ahead[2]], 2, np.where(one & ~two & ~_VALUE[ahead[1]], 1, 0))
+    covered = np.zeros(n + 1, np.int32)
+    np.add.at(covered, start, 1)
+    np.add.at(covered, end, -1)
+    alone = np.flatnonzero((np.cumsum(covered)[:n] == 0) & ((kind == _SIGN) | (kind == _JOIN)))
+    size = np.where(data[alone] == 0xC2, 2, np.where(data[alone] == 0xE2, 3, 1))
+    start, end = np.concatenate((start, alone)), np.concatenate((end, alone + size))
+    by = np.argsort(start, kind="stable")
+    return start[by], end[by]
+
+
+def _points(data: np.ndarray) -> np.ndarray:
+    """Code points before each byte."""
+    return np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+
+
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of all words and signs of a text, in code points."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    start, end = token_spans(data, np.array([0, len(data)]))
+    points = _points(data)
+    return list(zip(points[start].tolist(), points[end].tolist()))
+
+
+def _low(t: str) -> str:
+    return t.translate(_LOW)
+
+
+def _shape_key(t: str) -> tuple:
+    """What the shape features of a word are made of, and the word itself where it is one."""
+    n = len(t)
+    if t.isascii() and t.isalpha() and t[1:].islower():  # as most words are
+        upper = t[0] < "a"
+        runs = "Aa" if upper else "a"
+        return (min(n, 64) // 4, False, upper, True, False, 0, not upper and not t.strip("abcdef"),
+                min(9, len(runs) * 8 // n), len(set(t)) * 8 // min(n, 64), runs, 0, 0, 0, _low(t))
+    digit = sum(map(str.isdigit, t))
+    upper, lower = sum(map(str.isupper, t)), sum(map(str.islower, t))
+    if lower == n:
+        runs = "a"
+    else:
+        runs = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a"
+                                                if c.islower() else c for c in t))
+    return (min(n, 64) // 4, bool(digit), bool(upper), bool(lower), digit + upper + lower < n, digit * 6 // n,
+            not t.strip("0123456789abcdef"), min(9, len(runs) * 8 // n), len(set(t)) * 8 // min(n, 64), runs[:8],
+            min(4, t.count(".")), min(3, t.count("/")), min(3, t.count("-")),
+            _low(t) if t.isalpha() or n == 1 else "")
+
+
+def _shape_names(size, digit, upper, lower, sign, digits, hexadecimal, switch, kinds, runs, dots, strokes, dashes
+                 ) -> list[str]:
+    classes = "".join(k for k, v in (("9", digit), ("A", upper), ("a", lower), ("/", sign)) if v)
+    return [f"len{size}", f"class{classes}", f"digits{digits}", f"hex{int(hexadecimal)}", f"switch{switch}",
+            f"kinds{kinds}", f"shape{runs}", f"dots{dots}{strokes}{dashes}"]
 
 
 def _shape(t: str) -> list[str]:
-    n = len(t)
-    digit = sum(c.isdigit() for c in t)
-    upper, lower = sum(c.isupper() for c in t), sum(c.islower() for c in t)
-    classes = "".join(k for k, v in (("9", digit), ("A", upper), ("a", lower),
-                                     ("/", n - digit - upper - lower)) if v)
-    runs = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a"
-                                            if c.islower() else c for c in t[:64]))
-    switches = min(9, len(runs) * 8 // min(n, 64))
-    return [f"len{min(n, 64) // 4}", f"class{classes}", f"digits{digit * 6 // n}",
-            f"hex{int(all(c in '0123456789abcdef' for c in t))}", f"switch{switches}",
-            f"kinds{len(set(t)) * 8 // min(n, 64)}", f"shape{runs[:8]}",
-            f"word{t.lower()[:16] if t.isalpha() or n == 1 else ''}",
-            f"dots{min(4, t.count('.'))}{min(3, t.count('/'))}{min(3, t.count('-'))}"]
+    *shape, own = _shape_key(t)
+    return [*_shape_names(*shape), f"word\0{own}"]
 
 
 def _around(words: list[str], spans: list[tuple[int, int]]) -> Iterator[tuple[str, str, str, str, str]]:
@@ -96,7 +185,7 @@ def _around(words: list[str], spans: list[tuple[int, int]]) -> Iterator[tuple[st
         before, after = words[i - 1] if i else "", words[i + 1] if i + 1 < n else ""
         glue = (2 * (i > 0 and spans[i - 1][1] == spans[i][0])
                 + (i + 1 < n and spans[i][1] == spans[i + 1][0]))
-        yield (f"prev{before[:16]}", f"prevb{words[i - 2][:16] if i > 1 else ''}", f"next{after[:16]}",
+        yield (f"prev\0{before}", f"prevb\0{words[i - 2] if i > 1 else ''}", f"next\0{after}",
                f"glue{glue}", f"cue{min(9, i - last)}")
         if word.rstrip("=") in CUES:
             last = i
@@ -104,14 +193,31 @@ def _around(words: list[str], spans: list[tuple[int, int]]) -> Iterator[tuple[st
 
 def features(text: str, spans: list[tuple[int, int]], hide: bool = False) -> list[list[str]]:
     """Feature names of each token of a line; every token has equally many."""
-    words = [text[a:b].lower() for a, b in spans]
+    words = [_low(text[a:b]) for a, b in spans]
     return [["bias", *_shape(text[a:b]), *(["hidden"] * 5 if hide else near)]
             for (a, b), near in zip(spans, _around(words, spans))]
 
 
+@functools.lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(W.hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+
+def _places(hashes: np.ndarray, feature: int) -> np.ndarray:
+    """Indices of one of ``WORD_FEATURES`` for words with these hashes."""
+    return (W.mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (feature + 1) % 2**64)) % np.uint64(SPACE)).astype(np.int64)
+
+
+def _index(name: str) -> int:
+    kind, mark, word = name.partition("\0")
+    if mark:
+        return int(_places(np.array([_word_hash(word)], np.uint64), WORD_FEATURES.index(kind))[0])
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % SPACE
+
+
 def hashed(names: list[list[str]]) -> np.ndarray:
-    return np.array([[int.from_bytes(hashlib.blake2b(f.encode(), digest_size=4).digest(), "little")
-                      % SPACE for f in row] for row in names], np.int32)
+    return np.array([[_index(f) for f in row] for row in names], np.int32)
 
 
 @dataclass
@@ -122,74 +228,131 @@ class Field:
     step: np.ndarray   # 3 x 3; outside to inside is impossible
 
     def decode(self, x: np.ndarray) -> list[int]:
-        """The best state sequence of one run (Viterbi), ties towards the lower state."""
-        score = self.emit[x].sum(1)
-        best, back = score[0] + self.step[0], []
-        for row in score[1:]:
-            way = best[:, None] + self.step
-            back.append(way.argmax(0))
-            best = way.max(0) + row
-        state = [int(best.argmax())]
-        for b in reversed(back):
-            state.append(int(b[state[-1]]))
-        return state[::-1]
-
-    def spans(self, text: str, known: dict | None = None) -> list[Span]:
-        """Field spans of all lines; ``known`` remembers the scores of features between texts."""
-        known, out = {} if known is None else known, []
-        step = [[float(v) for v in row] for row in self.step]
-
-        def score(names: list[str]) -> tuple:
-            return tuple(float(v) for v in self.emit[hashed([names])[0]].sum(0))
-
-        def of(name: str) -> tuple:
-            got = known.get(name)
-            if got is None:
-                got = known[name] = score([name])
-            return got
-
-        for line in LINE.finditer(text):
-            found = tokens(text, *line.span())
-            raw = [text[x:y] for x, y in found]
-            best, back = None, []
-            for word, near in zip(raw, _around([w.lower() for w in raw], found)):
-                got = known.get((word,))
-                if got is None:
-                    if len(known) > FORGET:
-                        known.clear()
-                    got = known[(word,)] = score(["bias", *_shape(word)])
-                e0, e1, e2 = got
-                for name in near:
-                    g = of(name)
-                    e0, e1, e2 = e0 + g[0], e1 + g[1], e2 + g[2]
-                if best is None:
-                    best = (step[0][0] + e0, step[0][1] + e1, step[0][2] + e2)
-                    continue
-                b0, b1, b2 = best
-                way, new = [], []
-                for s, e in ((0, e0), (1, e1), (2, e2)):
-                    v0, v1, v2 = b0 + step[0][s], b1 + step[1][s], b2 + step[2][s]
-                    if v0 >= v1 and v0 >= v2:
-                        way.append(0), new.append(v0 + e)
-                    elif v1 >= v2:
-                        way.append(1), new.append(v1 + e)
-                    else:
-                        way.append(2), new.append(v2 + e)
-                back.append(way)
-                best = new
-            if best is None:
-                continue
-            state = best.index(max(best))
-            states = [state]
-            for way in reversed(back):
-                state = way[state]
-                states.append(state)
-            for (x, y), state in zip(found, reversed(states)):
-                if state == 1:
-                    out.append((x, y, "field"))
-                elif state == 2:
-                    out[-1] = (out[-1][0], y, "field")
-        return out
+        """The best state sequence of one chain of features."""
+        return viterbi(self.emit[x].sum(1), np.array([len(x)]), self.step).tolist()
+
+
+def viterbi(score: np.ndarray, length: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Best states of chains that follow each other in ``score``, ties towards the lower state.
+
+    All chains take a step together; those that are used up drop out, so the steps are as many
+    as the longest chain has.
+    """
+    first = np.cumsum(length) - length
+    by = np.argsort(-length, kind="stable")
+    left = np.searchsorted(-length[by], -np.arange(1, (length.max() if len(length) else 0) + 1), "right")
+    back, states = np.zeros((len(score), 3), np.int8), np.zeros(len(score), np.int8)
+    best = np.zeros((len(length), 3))
+    for t, count in enumerate(left):
+        at = first[by[:count]] + t
+        if t:
+            way = best[:count, :, None] + step
+            back[at] = way.argmax(axis=1)
+            best[:count] = way.max(axis=1) + score[at]
+        else:
+            best[:count] = score[at] + step[0]
+    state = best.argmax(axis=1).astype(np.int8)
+    for t in range(len(left) - 1, -1, -1):
+        count = left[t]
+        at = first[by[:count]] + t
+        states[at] = state[:count]
+        if t:
+            state[:count] = back[at, state[:count]]
+    return states
+
+
+class Reader:
+    """Field spans of whole texts; scores of words are remembered from text to text.
+
+    What a word adds to the score of its own place and of its neighbours depends on the word
+    alone, so a place's score is a sum of looked-up numbers.
+    """
+
+    def __init__(self, field: Field):
+        self.field = field
+        self.place: dict[int, int] = {}
+        self.shapes: dict[tuple, np.ndarray] = {}
+        self.score = np.zeros((1 << 12, 4, 3))  # of the word itself, and before, two before, after a place
+        self.cue = np.zeros(1 << 12, bool)
+        self.glue = np.stack([self._sum([f"glue{i}"]) for i in range(4)])
+        self.near = np.stack([self._sum([f"cue{i}"]) for i in range(10)])
+        self.bias = self._sum(["bias"])
+        self.edge = np.stack([self._sum([f + "\0"]) for f in WORD_FEATURES[1:]])
+
+    def _sum(self, names: list[str]) -> np.ndarray:
+        return self.field.emit[hashed([names])[0]].sum(axis=0)
+
+    def _shape(self, word: str) -> tuple[np.ndarray, bool]:
+        """Score of a word's shape, and whether its letters are a feature too."""
+        *shape, own = _shape_key(word)
+        known = self.shapes.get(tuple(shape))
+        if known is None:
+            known = self.shapes[tuple(shape)] = self._sum(_shape_names(*shape)) + self.bias
+        return known, own != ""
+
+    def _add(self, words: list[str], low: np.ndarray) -> None:
+        """Scores of new words; ``low`` has their hashes in lower case."""
+        first, n = len(self.place), len(words)
+        while first + n > len(self.score):
+            self.score = np.concatenate((self.score, np.zeros_like(self.score)))
+            self.cue = np.concatenate((self.cue, np.zeros_like(self.cue)))
+        shapes = [self._shape(w) for w in words]
+        empty = np.uint64(_word_hash(""))
+        own = np.where([letters for _, letters in shapes], low, empty)
+        emit, at = self.field.emit, slice(first, first + n)
+        self.score[at, 0] = np.array([s for s, _ in shapes]) + emit[_places(own, 0)]
+        for j in (1, 2, 3):
+            self.score[at, j] = emit[_places(low, j)]
+        self.cue[at] = [w[0] in "aAsStTpP" and _low(w).rstrip("=") in CUES for w in words]
+
+    def _ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        key, first, which = np.unique(W.hashes(data, start, end), return_index=True, return_inverse=True)
+        if len(self.place) + len(key) > FORGET:
+            self.place.clear()
+        keys, known = key.tolist(), self.place
+        new = [n for n, k in enumerate(keys) if k not in known]
+        if new:
+            raw, at = data.tobytes(), first[new]
+            words = [raw[a:b].decode(errors="replace") for a, b in zip(start[at].tolist(), end[at].tolist())]
+            self._add(words, W.hashes(W.LOWER[data], start[at], end[at]))
+            known.update(zip([keys[n] for n in new], range(len(known), len(known) + len(new))))
+        return np.array([known[k] for k in keys], np.int64)[which]
+
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, start, end) of the field's spans in code points of each text."""
+        start, end = token_spans(data, offsets)
+        if not len(start):
+            return
+        row = np.searchsorted(offsets, start, "right") - 1
+        line = row + np.concatenate(([0], np.cumsum(data == 10)))[start]
+        ids = self._ids(data, start, end)
+        new = np.concatenate(([True], line[1:] != line[:-1]))
+        head = np.flatnonzero(new)
+        place = np.arange(len(ids)) - np.repeat(head, np.diff(np.append(head, len(ids))))
+        length = np.diff(np.append(head, len(ids)))
+        rest = np.repeat(length, length) - place - 1
+        score = self.score[ids, 0].copy()
+        for step, j, inside in ((1, 1, place >= 1), (2, 2, place >= 2), (-1, 3, rest >= 1)):
+            score += np.where(inside[:, None], self.score[np.roll(ids, step), j], self.edge[j - 1])
+        touch = np.zeros(len(ids), bool)
+        touch[1:] = (end[:-1] == start[1:]) & ~new[1:]
+        after = np.concatenate((touch[1:], [False]))
+        score += self.glue[2 * touch + after]
+        mark = np.where(self.cue[ids], np.arange(len(ids)), -1)
+        seen = np.concatenate(([-1], np.maximum.accumulate(mark)[:-1]))
+        away = np.where(seen >= np.arange(len(ids)) - place, np.arange(len(ids)) - seen, 9)
+        score += self.near[np.minimum(9, away)]
+        state = viterbi(score, length, self.field.step)
+        begin = np.flatnonzero(state == 1)
+        if not len(begin):
+            return
+        # inside follows begin or inside of the same line; the span ends with the last of them
+        stop = np.flatnonzero((state > 0) & np.concatenate(((state[1:] != 2) | new[1:], [True])))
+        stop = stop[np.searchsorted(stop, begin)]
+        points = _points(data)
+        base = points[offsets[:-1]]
+        yield from zip(row[begin].tolist(), (points[start[begin]] - base[row[begin]]).tolist(),
+                       (points[end[stop]] - base[row[begin]]).tolist())
 
 
 def _expected(score: np.ndarray, move: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -270,7 +433,7 @@ def segments(text: str) -> Iterator[tuple[bool, str]]:
     """Stretches of lines of about ``CHAIN`` tokens, and whether they hold a pattern match."""
     hits = values(text)
     for line in LINE.finditer(text):
-        found = tokens(text, *line.span())
+        found = [(a + line.start(), b + line.start()) for a, b in tokens(line[0])]
         for i in range(0, len(found), CHAIN):
             x, y = found[i][0], found[min(i + CHAIN, len(found)) - 1][1]
             yield any(a < y and x < b for a, b in hits), text[x:y]
@@ -348,26 +511,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def scan(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text"
          ) -> DataFrame:
     """One row per document: counts by kind, base_sha256 and all spans."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = None if field is None else Reader(field)
         for batch in batches:
+            added: dict[int, list[Span]] = {}
+            if reader is not None:
+                for at, data, offsets in W.texts(batch.column("text"), SLICE):
+                    for row, start, end in reader.spans(data, offsets):
+                        added.setdefault(at + row, []).append((start, end, "field"))
             rows = []
-            for text in batch["text"]:
-                text = text or ""
-                base = base_spans(text)
-                more = [] if field is None else [
-                    s for s in field.spans(text, known)
-                    if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                base = base_spans(text or "")
+                more = [s for s in added.get(i, ()) if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
                 count = [sum(s[2] == k for s in base) for k in KINDS[:3]]
                 rows.append((*count, hashlib.sha256(written(base).encode()).hexdigest(),
                              written(ordered(base + more)), len(more)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256",
-                                              "spans", "n_field"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_field"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, "
              "base_sha256 string, spans string, n_field bigint")
 
