@@ -242,7 +242,7 @@ def viterbi(score: np.ndarray, length: np.ndarray, step: np.ndarray) -> np.ndarr
     by = np.argsort(-length, kind="stable")
     left = np.searchsorted(-length[by], -np.arange(1, (length.max() if len(length) else 0) + 1), "right")
     back, states = np.zeros((len(score), 3), np.int8), np.zeros(len(score), np.int8)
-    best = np.zeros((len(length), 3))
+    best, step = np.zeros((len(length), 3), score.dtype), step.astype(score.dtype)
     for t, count in enumerate(left):
         at = first[by[:count]] + t
         if t:
@@ -272,7 +272,8 @@ class Reader:
         self.field = field
         self.place: dict[int, int] = {}
         self.shapes: dict[tuple, np.ndarray] = {}
-        self.score = np.zeros((1 << 12, 4, 3))  # of the word itself, and before, two before, after a place
+        self.emit = field.emit.astype(np.float32)
+        self.score = np.zeros((1 << 12, 4, 3), np.float32)  # of the word itself, and before, two before, after a place
         self.cue = np.zeros(1 << 12, bool)
         self.glue = np.stack([self._sum([f"glue{i}"]) for i in range(4)])
         self.near = np.stack([self._sum([f"cue{i}"]) for i in range(10)])
@@ -280,7 +281,7 @@ class Reader:
         self.edge = np.stack([self._sum([f + "\0"]) for f in WORD_FEATURES[1:]])
 
     def _sum(self, names: list[str]) -> np.ndarray:
-        return self.field.emit[hashed([names])[0]].sum(axis=0)
+        return self.emit[hashed([names])[0]].sum(axis=0)
 
     def _shape(self, word: str) -> tuple[np.ndarray, bool]:
         """Score of a word's shape, and whether its letters are a feature too."""
@@ -299,7 +300,7 @@ class Reader:
         shapes = [self._shape(w) for w in words]
         empty = np.uint64(_word_hash(""))
         own = np.where([letters for _, letters in shapes], low, empty)
-        emit, at = self.field.emit, slice(first, first + n)
+        emit, at = self.emit, slice(first, first + n)
         self.score[at, 0] = np.array([s for s, _ in shapes]) + emit[_places(own, 0)]
         for j in (1, 2, 3):
             self.score[at, j] = emit[_places(low, j)]
@@ -331,9 +332,11 @@ class Reader:
         place = np.arange(len(ids)) - np.repeat(head, np.diff(np.append(head, len(ids))))
         length = np.diff(np.append(head, len(ids)))
         rest = np.repeat(length, length) - place - 1
-        score = self.score[ids, 0].copy()
+        score = self.score[ids, 0]
         for step, j, inside in ((1, 1, place >= 1), (2, 2, place >= 2), (-1, 3, rest >= 1)):
-            score += np.where(inside[:, None], self.score[np.roll(ids, step), j], self.edge[j - 1])
+            add = self.score[np.roll(ids, step), j]
+            add[~inside] = self.edge[j - 1]
+            score += add
         touch = np.zeros(len(ids), bool)
         touch[1:] = (end[:-1] == start[1:]) & ~new[1:]
         after = np.concatenate((touch[1:], [False]))
