@@ -80,3 +80,21 @@ def test_seen_urls(spark):
     new = spark.createDataFrame([("a", "t"), ("b", "t"), ("b", "u"), (None, "u")],
                                 "url string, source string")
     assert sorted(map(tuple, enrich.mark_seen(seen, new).collect())) == [("a", "s"), ("b", "t")]
+
+
+def test_longer_postal_codes_stay_whole(spark):
+    from brickyard.operators import enrich, extract
+
+    xw = spark.createDataFrame(
+        [(1, "1001", "Near", None, "P1", "R1"), (9016, "10016", "Far", None, "P2", "R2")],
+        "refnis long, postal_code string, municipality_nl string, municipality_fr string, province string, region string")
+    rows = spark.createDataFrame([("a", "B-10016"), ("b", "B-1001")], "listing_id string, postal_code string")
+    got = {r.listing_id: (r.postal_code, r.refnis, r.municipality) for r in enrich.crosswalk_enrich(rows, xw).collect()}
+    assert got == {"a": ("10016", 9016, "Far"), "b": ("1001", 1, "Near")}
+    row = spark.range(1).select(
+        text.split_address(F.lit("Veldstraat 12A, 10016 Far Away")).alias("a"),
+        text.split_address(F.lit("10016 Far")).alias("b"),
+        extract.url_meta(F.lit("https://x/detail/villa/for-sale/10016/far/1")).alias("u")).first()
+    assert tuple(row.a) == ("Veldstraat", "12A", "10016", "Far Away")
+    assert tuple(row.b) == (None, None, "10016", "Far")
+    assert (row.u.postal_code, row.u.city) == ("10016", "Far")
