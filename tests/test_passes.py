@@ -1,6 +1,11 @@
 """How often queries read their tables and what they shuffle."""
 
-from brickyard.operators import clean
+from pyspark.sql import functions as F
+
+from brickyard.operators import clean, dedup
+from brickyard.plans.bind import dup_listings
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -16,3 +21,25 @@ def test_model_frame_shuffles_rows_once(spark):
     frame = clean.clean_model_frame(rows)
     assert {tuple(r) for r in frame.select("listing_id", "price").collect()} == {("a", 250_000.0), ("b", 900.0)}
     assert plan(frame).count("Exchange hashpartitioning") == 1
+
+
+def test_duplicate_listings_read_the_tables_once(spark):
+    rows = dup_listings(spark, SF)
+    assert plan(rows).count("lineitem.parquet") == 1
+
+
+def test_only_clusters_of_several_are_marked(spark):
+    rows = [("a", 100.0, "u1", None), ("b", 102.0, None, "B"), ("c", 500.0, "u3", None), ("d", 900.0, None, "C"),
+            ("e", 900.0, "u5", None)]
+    df = spark.createDataFrame(rows, "listing_id string, price double, url string, epc string").withColumns({
+        "source": F.lit("s"), "market": F.lit("sale"), "postal_code": F.lit("1000"), "street": F.lit("x"),
+        "house_number": F.lit("1"), "livable_surface": F.lit(80.0), "bedrooms": F.lit(2),
+        "latitude": F.lit(50.0), "longitude": F.lit(4.0), "source_weight": F.lit(1.0)})
+    marked = dedup.dedup_clusters(df, mark=True)
+    assert {r.listing_id: r[dedup.SEVERAL] for r in marked.collect()} == {
+        "a": True, "b": True, "c": False, "d": True, "e": True}
+    columns = ["listing_id", "price", "url", "epc"]
+    got = [sorted(map(tuple, dedup.resolve_clusters(x, columns).collect()), key=repr)
+           for x in (marked, marked.drop(dedup.SEVERAL))]
+    assert got[0] == got[1] and len(got[0]) == 3
+    assert ("c", 1, "c", 500.0, "u3", None) in got[0]
