@@ -7,8 +7,10 @@ Plan, per group (market):
 2. cells of all sizes are counted (each size doubles the one below), and every query takes
    the smallest size at which its 3 x 3 cells hold ``k`` listings. The distance to the
    farthest corner of those cells is then an upper bound of the k-th distance;
-3. the listings of all cells that the bound can reach are sent to the query's own cell, and
-   ranked there. The result is exact without a second round, every query sees a small
+3. the listings of all cells that the bound can reach are sent to the query's home, a square of
+   ``HOME_CELLS`` x ``HOME_CELLS`` cells of its size (a bound reaches up to three cells, so with a
+   single cell as home each listing would be sent to about 49), and ranked there. The result is
+   exact without a second round, every query sees a small
    multiple of ``k`` candidates whatever the density, and the candidate pairs are never
    shuffled: the rank runs on the partitioning of the join;
 4. a query with too few points in the first sizes is far from all of them, and such a bound
@@ -29,6 +31,7 @@ from brickyard.session import cut
 
 LON_STRETCH = 1.5      # cells about as wide as high at 48 degrees
 QUERIES_PER_TASK_CELL = 512
+HOME_CELLS = 4         # cells on a side of a home, so that a point goes to few homes
 _PROBE_DEG = 0.05
 _FIRST_LEVELS = 5
 _STEP = 3              # sizes between two levels of the pyramid
@@ -191,6 +194,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str
     far = asked.filter("lv is null").drop("lv")
     asked = asked.filter("lv is not null")
     asked = asked.withColumns({"hx": _parent("x0"), "hy": _parent("y0")}).drop("x0", "y0")
+    asked = asked.withColumns({f"g{c}": F.floor(F.col(f"h{c}") / HOME_CELLS).cast("bigint") for c in "xy"})
 
     # upper bound of the k-th distance and the cells it can reach
     g = F.lit(finest) * F.pow(F.lit(2.0), F.col("lv"))
@@ -207,7 +211,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str
     dlat = F.least(F.degrees("_r"), F.lit(180.0))
     dlon = F.when(pole, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(
         F.lit(1.0), F.sin(F.least(F.col("_r"), F.lit(math.pi / 2))) / F.cos(F.radians("_qlat"))))))
-    home = [*keys, "lv", "hx", "hy"]
+    home = [*keys, "lv", "gx", "gy"]
     homes = cut(
         asked.withColumns({"_dlat": dlat, "_dlon": dlon}).groupBy(*home)
         .agg(F.min(F.floor((F.col("_qlat") - F.col("_dlat")) / g)).cast("bigint").alias("x1"),
@@ -234,7 +238,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str
     q_lat, q_lon = F.radians("_qlat"), F.radians("_qlon")
     limit = F.pow(F.sin(F.col("_r") / 2), F.lit(2.0)) * 1.000001
     inside = (asked.join(homes.select(*home, "_h", "_s"), home)
-              .select("_h", F.pmod(F.xxhash64("_q"), F.col("_s")).alias("_salt"), "_q",
+              .select("_h", F.pmod(F.xxhash64("_q"), F.col("_s")).alias("_salt"), "_q", *keys, "_qlat", "_qlon",
                       q_lat.alias("_qf"), q_lon.alias("_ql"), F.cos(q_lat).alias("_qc"),
                       limit.alias("_lim"), F.col("_r").alias("_box")))
     # ranked by the haversine term, which grows with the distance
@@ -242,10 +246,11 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, keys: Sequence[str
     sl = F.sin((F.col("_pl") - F.col("_ql")) / 2)
     pairs = (inside.join(near, ["_h", "_salt"])
              .filter(F.abs(F.col("_pf") - F.col("_qf")) <= F.col("_box"))
-             .select("_h", "_salt", "_q", "_lim", "_pid", "_carry",
+             .select("_h", "_salt", "_q", *keys, "_qlat", "_qlon", "_lim", "_pid", "_carry",
                      (sf * sf + F.col("_pc") * F.col("_qc") * sl * sl).alias("_a"))
              .filter(F.col("_a") <= F.col("_lim")).drop("_lim"))
-    found = _lists(pairs, ["_h", "_salt", "_q"], need, carry).select("_q", "_nb").join(asked, "_q").select(
+    # the place of a query goes along, so the lists need no join to get it back
+    found = _lists(pairs, ["_h", "_salt", "_q", *keys, "_qlat", "_qlon"], need, carry).select(
         *keys, "_qlat", "_qlon", "_nb")
     if not far.isEmpty():
         found = found.unionByName(_far_lists(far, pts, px, py, finest, keys, need, carry))

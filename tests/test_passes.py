@@ -43,3 +43,17 @@ def test_only_clusters_of_several_are_marked(spark):
            for x in (marked, marked.drop(dedup.SEVERAL))]
     assert got[0] == got[1] and len(got[0]) == 3
     assert ("c", 1, "c", 500.0, "u3", None) in got[0]
+
+
+def test_neighbour_lists_are_not_joined_back(spark):
+    import re
+
+    from brickyard.operators.knn import nearest
+
+    rows = spark.range(300).select(
+        F.concat(F.lit("p"), "id").alias("listing_id"), F.lit("sale").alias("market"),
+        (50 + (F.col("id") * 37 % 101) / 1000).alias("latitude"), (4 + (F.col("id") * 53 % 97) / 1000).alias("longitude"))
+    found = nearest(rows, rows, 3)
+    assert not re.search(r"Join \[_q#", plan(found))
+    assert {(r.n, r.own) for r in found.select(F.size("neighbours").alias("n"), (
+        F.get("neighbours", F.lit(0))["distance_m"] == 0).alias("own")).collect()} == {(3, True)}
