@@ -170,14 +170,21 @@ s AS (SELECT c.*, y.year, gy * net * y.year AS rent_roi, gy * net * y.year + (po
   FROM c, (SELECT unnest(range(0, 21))::INTEGER AS year) y)"""
 
 
-def _projected(spark: SparkSession, sf: str) -> DataFrame:
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
     beds = F.col("bedrooms")
-    req = _placed(spark, sf).select(
+    return _placed(spark, sf).select(
         F.col("listing_id").alias("property_id"), F.col("price").alias("purchase_price"),
         F.when(beds != 5, F.col("price") * 0.004 * (beds + 1)).otherwise(0.0).alias("monthly_rent"),
         F.get(F.array(*[F.lit(s) for s in _SCEN]), beds.cast("int")).alias("scenario"),
         (beds % 2 == 0).alias("include_costs"), "refnis", "province", "region", "ptype")
-    return R.project(req, growth=_growth(spark, sf))
+
+
+def _projected(spark: SparkSession, sf: str) -> DataFrame:
+    return R.project(_requests(spark, sf), growth=_growth(spark, sf))
+
+
+def _yearly(spark: SparkSession, sf: str) -> DataFrame:
+    return R.yearly(_requests(spark, sf), growth=_growth(spark, sf))
 
 
 @query("roi_series", _PROJ + """
@@ -185,7 +192,7 @@ SELECT property_id, year, round_even((rent_roi) * 100, 0) / 100 AS roi_rent_only
   round_even((value) * 100, 0) / 100 AS cumulative_value_eur, round_even((earned) * 100, 0) / 100 AS cumulative_rent_eur,
   round_even((value + earned) * 100, 0) / 100 AS net_worth_eur FROM s""")
 def roi_series(spark: SparkSession, sf: str) -> DataFrame:
-    return R.explode_series(_projected(spark, sf)).drop("profit_eur")
+    return _yearly(spark, sf).drop("profit_eur")
 
 
 @query("roi_milestones", _PROJ + """
@@ -200,7 +207,7 @@ def roi_milestones(spark: SparkSession, sf: str) -> DataFrame:
 SELECT property_id, year, 'Rent only' AS kind, round_even((rent_roi) * 100, 0) / 100 AS roi FROM s
 UNION ALL SELECT property_id, year, 'Rent + appreciation', round_even((total_roi) * 100, 0) / 100 FROM s""")
 def roi_unpivot(spark: SparkSession, sf: str) -> DataFrame:
-    return R.unpivot_series(R.explode_series(_projected(spark, sf)))
+    return R.unpivot_series(_yearly(spark, sf))
 
 
 _BREAK = """,

@@ -145,29 +145,23 @@ def yield_table(listings: DataFrame, xw: DataFrame) -> DataFrame:
 
 # -- projection --------------------------------------------------------------
 def _break_even(rate: Column, g: Column, threshold: Column, years: int) -> Column:
-    """First year the cumulative return reaches the threshold, interpolated; else NULL."""
+    """First year the cumulative return reaches the threshold, interpolated; else NULL.
+
+    The years are branches of one compiled expression, which stops at the first that holds.
+    """
 
     def total(y: Column) -> Column:
         return rate * y + (F.pow(1.0 + g, y) - 1.0) * 100.0
 
-    hits = F.filter(F.sequence(F.lit(1), F.lit(years)), lambda y: total(y) >= threshold)
-    first = F.get(hits, F.lit(0))
+    first = F.coalesce(*[F.when(total(F.lit(y)) >= threshold, y) for y in range(1, years + 1)])
     before, at = total(first - 1), total(first)
     part = F.when(at != before, (threshold - before) / (at - before)).otherwise(0.0)
     return money.rounded((first - 1) + part, 2)
 
 
-def project(df: DataFrame, horizons: Sequence[int] = HORIZONS,
-            growth: tuple[DataFrame, DataFrame] | None = None,
-            yields: DataFrame | None = None) -> DataFrame:
-    """Return projection of a table of properties; nothing is shuffled but the look-ups.
-
-    Needs property_id, purchase_price, monthly_rent, refnis, province, region, ptype,
-    scenario (hist, cons, base, opt) and include_costs. ``growth`` is (municipal, regional)
-    growth for the hist scenario, ``yields`` a yield table for rows without a rent. Adds the
-    yearly ``series`` and the ``milestones`` as arrays, and the break-even years.
-    """
-    last = max(horizons)
+def _terms(df: DataFrame, growth: tuple[DataFrame, DataFrame] | None,
+           yields: DataFrame | None) -> DataFrame:
+    """What a property's years are computed from: growth, yield, yearly rent and costs."""
     out = df.withColumn("ptype", F.when(
         F.col("ptype").isNotNull(), F.col("ptype")).otherwise("house"))
     if growth is not None:
@@ -200,30 +194,56 @@ def project(df: DataFrame, horizons: Sequence[int] = HORIZONS,
     out = out.withColumns({
         "gross_yield_pct": gross, "_net": net, "_acq": acq,
         "annual_net_rent": F.when(rent > 0, rent * 12).otherwise(gross / 100 * price) * net})
-    out = out.withColumn("_rate", F.col("gross_yield_pct") * F.col("_net"))
-
-    def year(y: Column) -> Column:
-        value = price * F.pow(1.0 + F.col("g"), y)
-        earned = F.col("annual_net_rent") * y
-        return F.struct(
-            y.alias("year"), money.rounded(F.col("_rate") * y, 2).alias("roi_rent_only_pct"),
-            money.rounded(F.col("_rate") * y + (F.pow(1.0 + F.col("g"), y) - 1.0) * 100.0, 2)
-            .alias("roi_total_pct"),
-            money.rounded(value, 2).alias("cumulative_value_eur"),
-            money.rounded(earned, 2).alias("cumulative_rent_eur"),
-            money.rounded(value + earned, 2).alias("net_worth_eur"),
-            money.rounded(value + earned - price * (1.0 + F.col("_acq")), 2).alias("profit_eur"))
-
-    series = F.transform(F.sequence(F.lit(0), F.lit(last)), year)
-    marks = F.filter(F.col("series"), lambda s: s["year"].isin(sorted(set(horizons))))
+    return out.withColumn("_rate", F.col("gross_yield_pct") * F.col("_net")).drop("_k", "_yr", "_yt", "_gy")
+
+
+def _year(y: Column) -> Column:
+    """One year of a property's projection as a struct."""
+    price = F.col("purchase_price")
+    appreciation = F.pow(1.0 + F.col("g"), y)
+    value = price * appreciation
+    earned = F.col("annual_net_rent") * y
+    return F.struct(
+        y.alias("year"), money.rounded(F.col("_rate") * y, 2).alias("roi_rent_only_pct"),
+        money.rounded(F.col("_rate") * y + (appreciation - 1.0) * 100.0, 2).alias("roi_total_pct"),
+        money.rounded(value, 2).alias("cumulative_value_eur"),
+        money.rounded(earned, 2).alias("cumulative_rent_eur"),
+        money.rounded(value + earned, 2).alias("net_worth_eur"),
+        money.rounded(value + earned - price * (1.0 + F.col("_acq")), 2).alias("profit_eur"))
+
+
+def project(df: DataFrame, horizons: Sequence[int] = HORIZONS,
+            growth: tuple[DataFrame, DataFrame] | None = None,
+            yields: DataFrame | None = None) -> DataFrame:
+    """Return projection of a table of properties; nothing is shuffled but the look-ups.
+
+    Needs property_id, purchase_price, monthly_rent, refnis, province, region, ptype,
+    scenario (hist, cons, base, opt) and include_costs. ``growth`` is (municipal, regional)
+    growth for the hist scenario, ``yields`` a yield table for rows without a rent. Adds the
+    yearly ``series`` and the ``milestones`` as arrays, and the break-even years.
+    """
+    last = max(horizons)
+    # a struct per known year: compiled, and a reader of one value pays for that value only
+    series = F.array(*[_year(F.lit(y)) for y in range(last + 1)])
+    marks = F.array(*[_year(F.lit(y)) for y in sorted(set(horizons)) if 0 <= y <= last])
     threshold = (1.0 + F.col("_acq")) * 100.0
-    return (out.withColumn("series", series)
+    return (_terms(df, growth, yields)
             .withColumns({
-                "milestones": marks,
+                "series": series, "milestones": marks,
                 "breakeven_rent": _break_even(F.col("_rate"), F.lit(0.0), threshold, last),
                 "breakeven_total": _break_even(F.col("_rate"), F.col("g"), threshold, last),
                 "appreciation_pct": money.rounded(F.col("g") * 100, 2)})
-            .drop("_k", "_yr", "_yt", "_gy", "_net", "_acq", "_rate"))
+            .drop("_net", "_acq", "_rate"))
+
+
+def yearly(df: DataFrame, horizons: Sequence[int] = HORIZONS,
+           growth: tuple[DataFrame, DataFrame] | None = None,
+           yields: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`project`'s ``series``: years are dealt out first, then computed by row."""
+    years = F.explode(F.sequence(F.lit(0), F.lit(max(horizons))))
+    rows = _terms(df, growth, yields).select(
+        "property_id", "purchase_price", "annual_net_rent", "g", "_rate", "_acq", years.alias("_y"))
+    return rows.select("property_id", _year(F.col("_y")).alias("_s")).select("property_id", "_s.*")
 
 
 def explode_series(projected: DataFrame, column: str = "series") -> DataFrame:

@@ -49,3 +49,15 @@ def test_growth_fallbacks(spark):
     assert got[(2, "house")] == (house, "region")
     assert got[(3, "house")] == (0.06, "municipality") and got[(4, "house")] == (0.03, "base")
     assert R.cagr(hist).filter(F.col("refnis") == 2).count() == 0
+
+
+def test_years_and_break_even_are_compiled(spark):
+    """No interpreted loop over the years of a property, and the same years either way."""
+    rows = [("a", 200000.0, 1500.0, 1, "P", "Wallonia", "house", "base", True),
+            ("b", 90000.0, 0.0, 1, "P", "Flanders", "apartment", "opt", False)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    projected = R.project(df)
+    plan = projected._jdf.queryExecution().analyzed().toString()
+    assert "transform(" not in plan and "lambda" not in plan
+    want = sorted(map(tuple, R.explode_series(projected).collect()))
+    assert sorted(map(tuple, R.yearly(df).collect())) == want and len(want) == 42
