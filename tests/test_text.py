@@ -98,3 +98,17 @@ def test_longer_postal_codes_stay_whole(spark):
     assert tuple(row.a) == ("Veldstraat", "12A", "10016", "Far Away")
     assert tuple(row.b) == (None, None, "10016", "Far")
     assert (row.u.postal_code, row.u.city) == ("10016", "Far")
+
+
+def test_numbers_are_parsed_once(spark):
+    """A parsed number does not repeat its own expression, and odd texts keep their values."""
+    df = spark.createDataFrame([("1.234,50",)], "t string")
+    for parse, calls in ((text.parse_price, 2), (text.parse_surface, 2)):
+        plan = df.select(parse(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") <= calls, plan
+    assert column(spark, text.parse_price, ["1.2.3", "0", "0.00", "12.", "1.234", "€ 85.5,9", None, "x"]) == [
+        123.0, None, None, 12.0, 1234.0, 85.5, None, None]
+    assert column(spark, text.parse_surface, ["1.234,5", "85.5,5", "1 200 m²", "m2 7", "0,0", None]) == [
+        1234.5, None, 1200.0, 7.0, None, None]
+    assert column(spark, text.first_number, ["about 3 rooms", " 7.5 ", "1e2", "-2 of 3", "", None]) == [
+        3.0, 7.5, 100.0, -2.0, None, None]
