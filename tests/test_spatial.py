@@ -199,3 +199,21 @@ def test_pairs_of_a_radius_are_not_shuffled(spark):
             (n, 0, ["0", "1", "2", "3", "4"], [])] * 3
         sizes.append(sum(len(r.best) for r in rows))
     assert sizes[0] == sizes[1]
+
+
+def test_small_and_large_groups_have_equal_quantiles(spark, monkeypatch):
+    """Groups sorted as arrays, by histogram, or some of each way: the same rows."""
+    from pyspark.sql import functions as F
+
+    from brickyard.operators import quantiles
+
+    rows = [(g, float(v) if v % 7 else None, float("nan") if v % 5 == 0 else -v / 3)
+            for g, n in (("a", 1), ("b", 2), ("c", 9), ("d", 40), (None, 12)) for v in range(n)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    found = []
+    for limit in (0, 10, 10**6):
+        monkeypatch.setattr(quantiles, "GROUP_ROWS", limit)
+        out = quantiles.group_quantiles(df, ["g"], {"x50": (F.col("x"), 0.5), "y50": (F.col("y"), 0.5),
+                                                    "x10": (F.col("x"), 0.1)}, count_as="n")
+        found.append(sorted(map(str, out.collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 4
