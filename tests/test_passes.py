@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from brickyard.operators import clean, dedup
-from brickyard.plans.bind import dup_listings
+from brickyard.plans.bind import dup_listings, listings
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +23,11 @@ def test_model_frame_shuffles_rows_once(spark):
     assert plan(frame).count("Exchange hashpartitioning") == 1
 
 
+def test_model_frame_reads_no_column_it_does_not_return(spark):
+    text = plan(clean.clean_model_frame(listings(spark, SF)))
+    assert "p_size" in text and not any(c in text for c in ("p_name", "s_name", "l_returnflag"))
+
+
 def test_duplicate_listings_read_the_tables_once(spark):
     rows = dup_listings(spark, SF)
     assert plan(rows).count("lineitem.parquet") == 1
