@@ -3,7 +3,9 @@
 A row's prediction in a tree is the mean of its root plus the change of the node mean at each
 step down to its leaf; the change counts for the feature that the step split on. The changes
 on the way to a leaf are the same for all rows, so the paths are followed once, level by
-level, over the table of nodes. Rows then join the leaves that the fitted model puts them in.
+level, over the table of nodes. Rows then look up the leaves that the fitted model puts them in:
+in a table that goes along with the rows, so that a row is finished where it is read, or, beyond
+``PATH_LEAVES`` leaves, by a join.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from brickyard.operators.model import feature_names, origin_feature
 from brickyard.session import cut, new_path
 
+PATH_LEAVES = 50_000  # counted leaves up to which the paths go along with the rows
+
 
 def tree_nodes(fitted) -> DataFrame:
     """Nodes of a fitted MLlib tree, forest or boosted model: (tree, weight, node, mean, left, right, feature).
@@ -75,7 +79,7 @@ def tree_attribution(df: DataFrame, fitted: PipelineModel, names: Sequence[str],
     """(id, base_value, prediction, feature, contribution), long; base and contributions add up.
 
     ``names`` are the entries of the feature vector; with ``roll_up`` those of one raw feature
-    are summed. Features that no path of a row used are left out.
+    are summed. Features that no path of a row used are left out. ``id_col`` tells rows apart.
     """
     model = fitted.stages[-1].copy()
     model.setLeafCol("_leaf")
@@ -87,6 +91,9 @@ def tree_attribution(df: DataFrame, fitted: PipelineModel, names: Sequence[str],
     scored = model.transform(rows)
     kind = dict(scored.dtypes)["_leaf"]
     leaves = F.array("_leaf") if kind == "double" else vector_to_array(F.col("_leaf"))
+    if paths.count() <= PATH_LEAVES:
+        out = _looked_up(scored.select(id_col, "prediction", leaves.alias("_leaves")), paths, names, roll_up)
+        return out.select(id_col, F.lit(base).alias("base_value"), "prediction", "feature", "contribution")
     hits = scored.select(id_col, "prediction", F.posexplode(leaves).alias("tree", "leaf")).withColumn(
         "leaf", F.col("leaf").cast("int"))
     label: Column = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_s.feature") + 1)
@@ -98,6 +105,38 @@ def tree_attribution(df: DataFrame, fitted: PipelineModel, names: Sequence[str],
     return out.select(id_col, F.lit(base).alias("base_value"), "prediction", "feature", "contribution")
 
 
+def _looked_up(rows: DataFrame, paths: DataFrame, names: Sequence[str], roll_up: bool) -> DataFrame:
+    """(..., feature, contribution) of rows with ``_leaves``; nothing of a row is shuffled.
+
+    The table holds, by tree and by leaf from the left, the sum of the steps on each feature,
+    null for those that the path does not use.
+    """
+    label: Column = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_s.feature") + 1)
+    label = origin_feature(label) if roll_up else label
+    sums = cut(paths.select("tree", "leaf", F.explode_outer("steps").alias("_s"))
+               .groupBy("tree", "leaf", label.alias("feature")).agg(F.sum("_s.contribution").alias("c")))
+    features = [r.feature for r in sums.filter("feature IS NOT NULL").select("feature").distinct().orderBy("feature").collect()]
+    if not features:
+        return rows.select(*[c for c in rows.columns if c != "_leaves"], F.lit(None).cast("string").alias("feature"),
+                           F.lit(None).cast("double").alias("contribution")).limit(0)
+    leaf = sums.groupBy("tree", "leaf").agg(
+        F.array(*[F.sum(F.when(F.col("feature") == f, F.col("c"))) for f in features]).alias("c"))
+    tree = leaf.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("leaf", "c"))).alias("leaves"))
+    tables = tree.agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", "leaves"))),
+                                  lambda t: t["leaves"]["c"]).alias("_tables"))
+    used = F.transform("_leaves", lambda leaf, tree: F.get(F.get("_tables", tree), leaf.cast("int")))
+
+    def total(i: int) -> Column:
+        own = F.filter(F.transform("_used", lambda c: F.get(c, F.lit(i))), lambda v: v.isNotNull())
+        return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, v: a + v))
+
+    items = F.array(*[F.struct(F.lit(f).alias("feature"), total(i).alias("contribution")) for i, f in enumerate(features)])
+    kept = [c for c in rows.columns if c != "_leaves"]
+    return (rows.crossJoin(F.broadcast(tables)).select(*kept, used.alias("_used"))
+            .select(*kept, F.explode(F.filter(items, lambda x: x["contribution"].isNotNull())).alias("_x"))
+            .select(*kept, "_x.feature", "_x.contribution"))
+
+
 def pipeline_attribution(df: DataFrame, fitted: PipelineModel, id_col: str = "listing_id") -> DataFrame:
     """Attribution by a pipeline of ``plans/scorer.py``: preparation, encoder, tree model."""
     first = fitted.stages[0]

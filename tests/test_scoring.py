@@ -115,6 +115,29 @@ def test_contributions_add_up_to_the_prediction(spark, listings, kind):
     assert top.groupBy("listing_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_paths_looked_up_equal_paths_joined(spark, listings, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from brickyard.operators import attribution
+
+    rows = scorer.training_rows(listings).filter("market = 'sale'")
+    fitted = scorer.fitted(rows, RandomForestRegressor(labelCol="price", numTrees=3, maxDepth=4, seed=2),
+                           ["livable_surface", "bedrooms"], ["epc"], ["garden"])
+
+    def contributions():
+        out = attribution.pipeline_attribution(rows, fitted)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        return plan, {(r.listing_id, r.feature): (r.base_value, r.prediction, r.contribution) for r in out.collect()}
+
+    plan, one = contributions()
+    # beyond the one of the model frame no row of the table is shuffled
+    assert plan.count("Exchange hashpartitioning(listing_id") == 1
+    monkeypatch.setattr(attribution, "PATH_LEAVES", 0)
+    _, two = contributions()
+    assert one.keys() == two.keys() and len(one) > 500
+    assert all(abs(x - y) <= 1e-6 * max(1.0, abs(y)) for k in one for x, y in zip(one[k], two[k]))
+
+
 def test_search_ranks_the_seeded_draws_the_same_twice(spark, listings):
     from pyspark.ml import Pipeline
 
