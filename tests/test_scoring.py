@@ -138,6 +138,29 @@ def test_paths_looked_up_equal_paths_joined(spark, listings, monkeypatch):
     assert all(abs(x - y) <= 1e-6 * max(1.0, abs(y)) for k in one for x, y in zip(one[k], two[k]))
 
 
+def test_a_model_without_the_index_looks_no_row_up(spark, listings, monkeypatch):
+    from pyspark.ml.regression import LinearRegression
+
+    from brickyard.plans import surface
+
+    def train():
+        return scorer.train(listings, lambda: LinearRegression(labelCol="price", solver="normal"),
+                            numeric=["livable_surface", "bedrooms"], categorical=[], flags=[])
+
+    requests = spark.createDataFrame(
+        [("r1", "sale", 90.0, None, 50.85, 4.35), ("r2", "rent", None, 2.0, None, None), ("r3", "none", 1.0, 1.0, None, None)],
+        "request_id string, market string, livable_surface double, bedrooms double, latitude double, longitude double")
+    asked = []
+    found = surface.lookup
+    monkeypatch.setattr(surface, "lookup", lambda *a, **k: asked.append(1) or found(*a, **k))
+    fitted = train()
+    scores = {r.request_id: r for r in fitted.score(requests).collect()}
+    assert set(scores) == {"r1", "r2"} and all(r.prediction > 0 for r in scores.values()) and not asked
+    # the matrix of the requests still has the index
+    matrix = {r.request_id: r.neighbourhood_price_index for r in fitted.prepare(requests).collect()}
+    assert asked and set(matrix) == {"r1", "r2"} and all(0 <= v <= 100 for v in matrix.values())
+
+
 def test_search_ranks_the_seeded_draws_the_same_twice(spark, listings):
     from pyspark.ml import Pipeline
 
