@@ -391,6 +391,18 @@ def test_packing_lists_equal_brute_force_over_telling_words(spark):
         assert [-round(score[d], 3) for d in got.get(row, [])] == [s for s, _ in best]
 
 
+def test_packing_sketch_goes_compressed_through_the_driver(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = packing.tokenized(frame(spark, [(i, f"word{i} common text {i % 7}") for i in range(200)], extra=False), path)
+    ranges = packing.sketch_ranges(docs)
+    assert len(ranges) == packing.RANGES and sum(len(c) for _, c in ranges) < 2 * packing.CELLS * 4 // 50
+    whole = packing.opened(ranges)
+    assert whole.shape == (2 * packing.CELLS,) and (whole == packing.document_counts(docs)).all()
+    sent = [spark.sparkContext.broadcast(x) for x in (ranges, whole)]
+    one, two = (sorted(map(tuple, packing.postings(docs, x, 200, 5.0).collect())) for x in sent)
+    assert one == two and len(one) > 200
+
+
 def test_packing_cuts_a_hot_word_into_runs(spark):
     """A word that all documents have makes as many pairs as there are places, not their square."""
     sizes = []
