@@ -217,3 +217,36 @@ def test_small_and_large_groups_have_equal_quantiles(spark, monkeypatch):
                                                     "x10": (F.col("x"), 0.1)}, count_as="n")
         found.append(sorted(map(str, out.collect())))
     assert found[0] == found[1] == found[2] and len(found[0]) == 4
+
+
+def test_work_of_a_radius_grows_slower_than_its_points():
+    """All points are inside; ten times as many are not scored ten times as often, and the result is exact."""
+    import pyarrow as pa
+
+    scored = []
+    for n in (4_000, 40_000):
+        rng, seen = np.random.default_rng(n), []
+        lat, lon, price = np.radians(50 + rng.random(n) * 0.1), np.radians(4 + rng.random(n) * 0.1), rng.integers(50, 90, n) * 1.0
+        points = pa.table({"_pid": [f"{i:06d}" for i in range(n)], "lat": lat, "lon": lon, "price": price,
+                           "kind": pa.array(["a", "b"] * (n // 2))})
+        asked = pa.table({"query_id": [0, 1], "lat": lat[:2], "lon": lon[:2], "q_price": [60.0, 70.0], "open": [False, True],
+                          "q_kind": pa.array(["b", "a"])})
+
+        def score(q, p, km):
+            seen.append(len(km))
+            return np.abs(p["price"] - q["q_price"]) + km
+
+        got = best._met(25_000.0, 5, score, lambda q, p, km: q["q_kind"] == p["kind"], ["price"], ["kind"], ["price"], [])(
+            asked, points).to_pylist()
+        scored.append(sum(seen))
+        place = {"lat": lat, "lon": lon}
+        for r in got:
+            metres_ = best._metres(place, place, np.full(n, r["query_id"]), np.arange(n))
+            fit = np.arange(n) % 2 == 1 - r["query_id"]
+            assert (r["n"], r["n_fit"], r["farthest_m"]) == (n, n // 2, metres_.max())
+            values = np.abs(price - [60.0, 70.0][r["query_id"]]) + metres_ / 1000.0
+            order = np.lexsort((np.arange(n), values))
+            assert [x["id"] for x in r["best"]] == ([f"{i:06d}" for i in order[:5]] if r["query_id"] == 0 else [])
+            assert [x["id"] for x in r["best_fit"]] == ([f"{i:06d}" for i in order[fit[order]][:5]] if r["query_id"] == 0 else [])
+            assert sum(x["n"] for x in r["hist"]) == (0 if r["query_id"] == 0 else n)
+    assert scored[1] < 4 * scored[0]
