@@ -1,5 +1,6 @@
 """How often queries read their tables and what they shuffle."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from brickyard.operators import clean, dedup
@@ -62,3 +63,21 @@ def test_neighbour_lists_are_not_joined_back(spark):
     assert not re.search(r"Join \[_q#", plan(found))
     assert {(r.n, r.own) for r in found.select(F.size("neighbours").alias("n"), (
         F.get("neighbours", F.lit(0))["distance_m"] == 0).alias("own")).collect()} == {(3, True)}
+
+
+def test_train_models_trims_rows_that_are_written(spark, monkeypatch):
+    """What the price index adds is searched once: the trimming, which reads its rows three times, gets a file."""
+    from brickyard.operators import model
+    from brickyard.plans import catalog_model, scorer
+
+    seen = []
+
+    def trim(df):
+        seen.append(df._jdf.queryExecution().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(scorer, "with_index", lambda rows: (None, rows.repartition(3, "listing_id")))
+    monkeypatch.setattr(model, "trim_outliers", trim)
+    with pytest.raises(StopIteration):
+        catalog_model.train_models(spark, SF)
+    assert len(seen) == 1 and "Exchange" not in seen[0]
