@@ -741,3 +741,22 @@ def test_quality_scores(spark):
     assert sum(r.predicted == good[r.doc_id] for r in held) >= 0.95 * len(held)
     assert quality.quality(empty(spark), labels).count() == 0
     assert quality.quality(frame(spark, docs), labels.filter("false")).count() == len(docs)
+
+
+def test_sketch_looks_up_a_word_once():
+    """A word of many documents is one look-up; the counts are those of one look-up a document."""
+    import numpy as np
+
+    from brickyard.llm import packing, tokens
+
+    words = np.repeat(np.arange(50, dtype=np.uint32) * np.uint32(2654435761), 40)
+    one, other = (np.zeros(2 * packing.CELLS, np.int32) for _ in range(2))
+    packing.add_documents(one, words)
+    for cells in packing.cells_of(words):
+        np.add.at(other, cells, 1)
+    assert np.array_equal(one, other) and one.sum() == 2 * len(words)
+    values = words.astype(np.uint64)[::-1]
+    key, first, which = tokens.distinct(values)
+    for got, want in zip((key, first, which), np.unique(values, return_index=True, return_inverse=True)):
+        assert np.array_equal(got, want)
+    assert all(len(x) == 0 for x in tokens.distinct(values[:0]))
