@@ -11,7 +11,7 @@ from brickyard.plans import comparables as comps
 from brickyard.plans import surface
 from brickyard.plans.bind import LISTINGS, POINTS, listings
 from brickyard.plans.registry import query
-from brickyard.session import cut, written
+from brickyard.session import written
 
 P = f"WITH p AS ({POINTS})"
 
@@ -135,9 +135,7 @@ def _near(spark: SparkSession, sf: str, leave_one_out: bool) -> DataFrame:
     rows = listings(spark, sf).select("listing_id", "market", "latitude", "longitude").dropna()
     out = surface.neighbours(rows, _points(spark, sf),
                              exclude_id="listing_id" if leave_one_out else None)
-    return out.withColumns({"nearest_id": F.get("neighbours", F.lit(0))["id"],
-                            "n_neighbours": F.size("neighbours").cast("bigint"),
-                            "n_near": F.col("n_near").cast("bigint")})
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("n_neighbours", "n_near")})
 
 
 _NB_COLS = """SELECT listing_id, nearest_id, n_neighbours, local_ppsqm,
@@ -262,7 +260,7 @@ def priciness_lookup(spark: SparkSession, sf: str) -> DataFrame:
 SELECT request_id, nearest_refnis, radius_m > 20000 AS far, round(value, 6) AS value FROM v""")
 def priciness_backoff(spark: SparkSession, sf: str) -> DataFrame:
     north = municipality_requests(spark, sf).withColumn("latitude", F.col("latitude") + 0.9)
-    pts = cut(_points(spark, sf))
+    pts = written(_points(spark, sf).select(*surface.POINT_COLUMNS), "surface-points")
     return surface.back_off(surface.neighbours(north, pts), pts).select(
         "request_id", "nearest_refnis", (F.col("radius_m") > geo.FAR_M).alias("far"),
         F.round("value", 6).alias("value"))

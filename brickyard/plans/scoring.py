@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brickyard.operators.quantiles import with_percentile
 from brickyard.plans import surface
-from brickyard.session import cut
+from brickyard.session import written
 
 
 def serve_index(df: DataFrame, points: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def serve_index(df: DataFrame, points: DataFrame) -> DataFrame:
     Exact coordinates read the surface; a row with only a province gets the percentile of
     the province median; anything else keeps 50.
     """
-    points = cut(points.select(*surface.POINT_COLUMNS, "province"))
+    points = written(points.select(*surface.POINT_COLUMNS, "province"), "surface-points")
     exact = surface.lookup(df.select("listing_id", "market", "latitude", "longitude"), points)
     exact = exact.select("listing_id", F.col("percentile").alias("_exact"))
     med = with_percentile(surface.province_medians(points), points, ["market"], "price_per_sqm",

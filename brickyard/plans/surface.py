@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from brickyard.functions import geo, money
 from brickyard.operators import clean
-from brickyard.operators.knn import array_median, nearest
+from brickyard.operators.knn import Brief, nearest
 from brickyard.operators.quantiles import group_medians, with_percentile
-from brickyard.session import cut
+from brickyard.session import written
 
 NEIGHBOURS = 20
 TILE_MIN = 5
@@ -71,19 +71,14 @@ def tiles(points: DataFrame, width: float = TILE_DEG, at_least: int = TILE_MIN)
 
 def neighbours(queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS,
                exclude_id: str | None = None) -> DataFrame:
-    """Queries with their nearest points and the local estimate.
+    """Queries with the local estimate of their nearest points.
 
-    Adds ``neighbours``, ``local_ppsqm`` (median), ``radius_m`` (farthest neighbour),
-    ``n_near`` (neighbours within 1 km) and ``nearest_refnis``.
+    Adds ``local_ppsqm`` (median), ``radius_m`` (farthest neighbour), ``n_near`` (neighbours
+    within 1 km), ``n_neighbours``, ``nearest_id`` and ``nearest_refnis``.
     """
-    out = nearest(queries, points, k, carry=["price_per_sqm", "refnis"], exclude_id=exclude_id)
-    nb = F.col("neighbours")
-    return out.withColumns({
-        "local_ppsqm": array_median(F.transform(nb, lambda x: x["price_per_sqm"])),
-        "radius_m": F.get(nb, F.size(nb) - 1)["distance_m"],
-        "n_near": F.size(F.filter(nb, lambda x: x["distance_m"] <= NEAR_M)),
-        "nearest_refnis": F.get(nb, F.lit(0))["refnis"],
-    })
+    brief = Brief("price_per_sqm", NEAR_M, "refnis")
+    return nearest(queries, points, k, carry=["price_per_sqm", "refnis"], exclude_id=exclude_id,
+                   brief=brief).withColumnRenamed("local_price_per_sqm", "local_ppsqm")
 
 
 def confidence(n_near: Column, radius_m: Column) -> Column:
@@ -94,9 +89,10 @@ def confidence(n_near: Column, radius_m: Column) -> Column:
 
 def back_off(found: DataFrame, points: DataFrame) -> DataFrame:
     """``value``: the local median, or the nearest municipality's mean, or the market's median."""
-    stats = muni_stats(points).select(F.col("market").alias("_sm"), F.col("refnis").alias("_sr"),
-                                      "mean_ppsqm")
-    nat = national_medians(points).select(F.col("market").alias("_nm"), "national_ppsqm")
+    # written, these are small files, so that the rows need not be shuffled to meet them
+    stats = written(muni_stats(points).select(F.col("market").alias("_sm"), F.col("refnis").alias("_sr"),
+                                              "mean_ppsqm"), "muni-stats")
+    nat = written(national_medians(points).select(F.col("market").alias("_nm"), "national_ppsqm"), "national")
     far = F.col("radius_m") > geo.FAR_M
     # only far queries look a municipality up
     key = F.when(far, F.col("nearest_refnis"))
@@ -112,8 +108,9 @@ def lookup(queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS,
            exclude_id: str | None = None) -> DataFrame:
     """Value, percentile, confidence, granularity and radius for every located query."""
     located = queries.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    points = cut(points.select(*POINT_COLUMNS))
-    out = back_off(neighbours(located, points, k, exclude_id), points)
+    points = written(points.select(*POINT_COLUMNS), "surface-points")
+    # the ranks read the values twice; the search is not to run twice
+    out = written(back_off(neighbours(located, points, k, exclude_id), points), "surface-values")
     out = with_percentile(out, points, ["market"], "price_per_sqm", "percentile", probe="value")
     return out.withColumns({
         "confidence": confidence(F.col("n_near"), F.col("radius_m")),
@@ -132,7 +129,7 @@ def neighbourhood_index(listings: DataFrame, points: DataFrame,
 
 def build_surface(listings: DataFrame) -> dict[str, DataFrame]:
     """The tables a surface consists of, ready to be written."""
-    points = cut(surface_points(listings).select(*POINT_COLUMNS, "province"))
+    points = written(surface_points(listings).select(*POINT_COLUMNS, "province"), "surface-points")
     return {"points": points.select(*POINT_COLUMNS),
             "muni_stats": muni_stats(points), "province_medians": province_medians(points),
             "national": national_medians(points), "tiles": tiles(points)}

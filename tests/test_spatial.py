@@ -250,3 +250,26 @@ def test_work_of_a_radius_grows_slower_than_its_points():
             assert [x["id"] for x in r["best_fit"]] == ([f"{i:06d}" for i in order[fit[order]][:5]] if r["query_id"] == 0 else [])
             assert sum(x["n"] for x in r["hist"]) == (0 if r["query_id"] == 0 else n)
     assert scored[1] < 4 * scored[0]
+
+
+def test_lists_are_found_in_tiles_and_not_shuffled(spark, monkeypatch):
+    """Many tiles, a crowded place and split queries give brute force; no list or pair meets a shuffle."""
+    monkeypatch.setattr(knn, "TILE_ROWS", 40)
+    rng = random.Random(5)
+    rows = [(f"{i:05d}", "sale", *((50.05, 4.05) if i % 4 == 0 else (50 + rng.random() * 0.1, 4 + rng.random() * 0.1)))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "listing_id string, market string, latitude double, longitude double").withColumn(
+        "v", F.expr("cast(listing_id as double) % 17"))
+    found = nearest(df, df, 6, carry=["v"], exclude_id="listing_id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" in plan and "collect_list" not in plan and "LeftOuter" not in plan
+    brief = nearest(df, df, 6, carry=["v"], exclude_id="listing_id", brief=knn.Brief("v", 1000.0, "v"))
+    short = {r.listing_id: r for r in brief.collect()}
+    got = {r.listing_id: r.neighbours for r in found.collect()}
+    assert len(got) == len(short) == len(rows)
+    for lid, _, *place in rows:
+        want = sorted((metres(place, r[2:]), r[0]) for r in rows if r[0] != lid)[:6]
+        assert [x.id for x in got[lid]] == [w[1] for w in want]
+        v, s = sorted(int(w[1]) % 17 for w in want), short[lid]
+        assert (s.local_v, s.nearest_id, s.nearest_v, s.n_neighbours) == ((v[2] + v[3]) / 2, want[0][1], int(want[0][1]) % 17, 6)
+        assert s.n_near == sum(w[0] <= 1000 for w in want) and abs(s.radius_m - want[-1][0]) < 1e-6
