@@ -150,3 +150,23 @@ def test_merge_is_idempotent(spark, tmp_path):
     assert (report["(all)"].n_input, report["(all)"].n_kept) == (3, 2)
     store.merge_market(spark, raw, target, weights)
     assert store.read_store(spark, target).count() == 2 and store.current_version(spark, target) == 2
+
+
+def test_small_blocks_are_clustered_where_they_lie(spark, monkeypatch):
+    """Blocks in one task, or some of them by links: the same clusters; small blocks write no node and join nothing."""
+    rng = random.Random(3)
+    rows = [rec(f"{i:04d}", rng.choice([1e5, 1.03e5, 2e5]), *rng.choice([(50.0, 4.0), (50.0001, 4.0), (50.1, 4.1), (None, None)]),
+                street=rng.choice(["Main", "Side", f"S{i}"]), source=rng.choice("ab"), url=rng.choice([None, f"u{i}"]),
+                epc=rng.choice([None, "B"])) for i in range(160)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    made, found = [], []
+    monkeypatch.setattr(dedup, "_nodes", lambda x, own=dedup._nodes: made.append(1) or own(x))
+    weights = dedup.priority_table(spark, {"a": 2.0, "b": 1.0})
+    for limit in (1000, 20):
+        monkeypatch.setattr(dedup, "SMALL_BLOCK", limit)
+        got = {r[0]: r[1] for r in dedup.dedup_clusters(df).select("listing_id", "cluster_id").collect()}
+        assert got == brute(rows) and bool(made) == (limit == 20)
+        found.append(sorted(map(tuple, dedup.dedupe(df, weights).collect()), key=repr))
+    assert found[0] == found[1] and any(r[1] > 1 for r in found[0])
+    plan = dedup.dedup_clusters(df, columns=["listing_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
