@@ -81,3 +81,31 @@ def test_train_models_trims_rows_that_are_written(spark, monkeypatch):
     with pytest.raises(StopIteration):
         catalog_model.train_models(spark, SF)
     assert len(seen) == 1 and "Exchange" not in seen[0]
+
+
+def test_train_models_fits_ensembles_of_full_size(spark, monkeypatch):
+    """The query names no sizes of its own: forest and boosting have those of the operator."""
+    from types import SimpleNamespace
+
+    from brickyard.operators import model
+    from brickyard.plans import catalog_model, scorer
+
+    own, seen = model.regressors, []
+
+    def regressors(*sizes, **named):
+        seen.append(own(*sizes, **named))
+        raise StopIteration
+
+    rows = spark.createDataFrame([("a", "sale", "train", 1.0)], "listing_id string, market string, split string, price double")
+    rows = rows.withColumns({c: F.lit(1.0) for c in catalog_model.S.MODEL_FEATURES})
+    monkeypatch.setattr(scorer, "training_rows", lambda listings: rows)
+    monkeypatch.setattr(scorer, "with_index", lambda listings: (None, rows))
+    monkeypatch.setattr(scorer, "encoded", lambda train: SimpleNamespace(
+        transform=lambda df: df.withColumn("features", F.lit(0.0))))
+    monkeypatch.setattr(model, "trim_outliers", lambda df: df)
+    monkeypatch.setattr(model, "regressors", regressors)
+    with pytest.raises(StopIteration):
+        catalog_model.train_models(spark, SF)
+    forest, boosted = seen[0]["random_forest"], seen[0]["boosted_trees"]
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (300, 22)
+    assert (boosted.getMaxIter(), boosted.getMaxDepth()) == (400, 6)
